@@ -99,7 +99,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 2 * CHUNK_BYTES)
-        _POWERS[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b, _U))).astype(_U)) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        _POWERS[:] = [np.full(size, b, _U) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        for p in _POWERS:
+            p[0] = 1
+            np.cumprod(p, out=p)
     return _POWERS[0], _POWERS[1]
 
 

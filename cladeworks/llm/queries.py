@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import common as c, decontaminate
+from . import common as c, decontaminate, near_join
 
 
 def op1_decontaminate(spark, sf_dir):
     return decontaminate.leaks(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
-ORACLES = {"op1_decontaminate": decontaminate.SQL}
+def op2_near_join(spark, sf_dir):
+    return near_join.join(c.table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_near_join": op2_near_join}
+ORACLES = {"op1_decontaminate": decontaminate.SQL, "op2_near_join": near_join.SQL}
