@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common as c, decontaminate, line_dedup, mixing, near_join
+from . import common as c, decontaminate, line_dedup, mixing, near_join, warc
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -13,6 +13,10 @@ def op2_near_join(spark, sf_dir):
     return near_join.join(c.table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(c.table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.digest(c.table(spark, sf_dir, "documents"))
 
@@ -21,5 +25,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.placed(c.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_near_join": op2_near_join, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
-ORACLES = {"op1_decontaminate": decontaminate.SQL, "op2_near_join": near_join.SQL, "op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_near_join": op2_near_join, "op4_warc": op4_warc, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
+ORACLES = {"op1_decontaminate": decontaminate.SQL, "op2_near_join": near_join.SQL, "op4_warc": warc.SQL, "op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
