@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common as c, decontaminate, line_dedup, mixing, near_join, warc
+from . import common as c, decontaminate, line_dedup, lm_score, mixing, near_join, quality_fm, warc
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -13,10 +13,18 @@ def op2_near_join(spark, sf_dir):
     return near_join.join(c.table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_lm_score(spark, sf_dir):
+    return lm_score.cross_entropy_difference(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.round_trip(c.table(spark, sf_dir, "pages"))
 
 
+def op7_quality_fm(spark, sf_dir):
+    return quality_fm.predictions(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.digest(c.table(spark, sf_dir, "documents"))
 
@@ -25,5 +33,19 @@ def op10_mixing(spark, sf_dir):
     return mixing.placed(c.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_near_join": op2_near_join, "op4_warc": op4_warc, "op9_line_dedup": op9_line_dedup, "op10_mixing": op10_mixing}
-ORACLES = {"op1_decontaminate": decontaminate.SQL, "op2_near_join": near_join.SQL, "op4_warc": warc.SQL, "op9_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_near_join": op2_near_join,
+    "op3_lm_score": op3_lm_score,
+    "op4_warc": op4_warc,
+    "op7_quality_fm": op7_quality_fm,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_near_join": near_join.SQL,
+    "op4_warc": warc.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+    "op10_mixing": mixing.SQL,
+}
