@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common as c, decontaminate, line_dedup, lm_score, mixing, near_join, quality_fm, warc
+from . import common as c, decontaminate, line_dedup, lm_score, mixing, mpeg, near_join, quality_fm, secrets_crf, warc
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -21,10 +21,18 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(c.table(spark, sf_dir, "pages"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets_crf.secrets(c.table(spark, sf_dir, "documents"))
+
+
 def op7_quality_fm(spark, sf_dir):
     return quality_fm.predictions(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
 
 
+def op8_mpeg_audio(spark, sf_dir):
+    return mpeg.digest(c.table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.digest(c.table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,9 @@ QUERIES = {
     "op2_near_join": op2_near_join,
     "op3_lm_score": op3_lm_score,
     "op4_warc": op4_warc,
+    "op6_secrets": op6_secrets,
     "op7_quality_fm": op7_quality_fm,
+    "op8_mpeg_audio": op8_mpeg_audio,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
