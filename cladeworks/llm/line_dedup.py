@@ -203,8 +203,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs with shortened texts; a document that had words and has none left goes."""
+    """The rows of docs with shortened texts, and n_chars of those; a document that had words and has none left goes."""
     found = dedup(docs)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("_lines.n_deleted") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     gone = (F.col("_lines.n_deleted") > 0) & (F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r ]+", "")) == "")
     return found.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common as c, decontaminate, line_dedup, lm_score, mixing, mpeg, near_join, quality_fm, secrets_crf, warc
+from . import common as c, decontaminate, langid, line_dedup, lm_score, mixing, mpeg, near_join, quality_fm, secrets_crf, warc
 
 
 def op1_decontaminate(spark, sf_dir):
@@ -21,6 +21,10 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(c.table(spark, sf_dir, "pages"))
 
 
+def op5_langid(spark, sf_dir):
+    return langid.identify(c.table(spark, sf_dir, "pages"), c.table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark, sf_dir):
     return secrets_crf.secrets(c.table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_near_join": op2_near_join,
     "op3_lm_score": op3_lm_score,
     "op4_warc": op4_warc,
+    "op5_langid": op5_langid,
     "op6_secrets": op6_secrets,
     "op7_quality_fm": op7_quality_fm,
     "op8_mpeg_audio": op8_mpeg_audio,

@@ -1,3 +1,46 @@
+"""A corpus pipeline over documents: quality, repeated lines, near copies, benchmark leaks, mixture.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last one's rows are in the order of the
+mixture. Near copies are those of the default, five words and a similarity of 0.8 or more. Documents that hold a benchmark
+window go as a whole. No SQL can state the first stage, whose model is trained, so ORACLE_SQL is None; tests hold the stages
+against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cladeworks.llm import common, decontaminate, line_dedup, mixing, near_join, quality_fm
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_fm.stage(docs, common.table(spark, sf_dir, "labels"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.stage(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("_leaks.hits") == 0).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.stage(docs)
+
+
+STAGES = [("quality", quality), ("repeated_lines", repeated_lines), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("mixture", mixture)]
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written as Parquet and read again by the next."""
+    docs, tables = common.table(spark, sf_dir, "documents"), common.Tables(spark)
+    for _, stage in STAGES:
+        docs = tables.cut(stage(spark, docs, sf_dir), drop=(docs,))
+    return docs
