@@ -61,35 +61,36 @@ def reverse_complement(s: Column) -> Column:
 
 def codons(s: Column, frame: int = 0) -> Column:
     """Whole codons of a frame, in capitals, U read as T."""
-    up = F.translate(F.upper(s), "U", "T")
-    n = F.floor((F.length(s) - frame) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(up, 3 * i + 1 + frame, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.translate(F.upper(F.substring(s, frame + 1, 2**31 - 1)), "U", "T"), F.lit(".{3}"), F.lit(0))
+
+
+def codon_token(codon: Column) -> Column:
+    """0 to 63 in the order of CODONS, -1 for anything else."""
+    digits = [F.instr(F.lit(BASES), F.substring(codon, k, 1)) - 1 for k in (1, 2, 3)]
+    return F.when(F.least(*digits) >= 0, digits[0] * 16 + digits[1] * 4 + digits[2]).otherwise(-1)
 
 
 def codon_tokens(s: Column, frame: int = 0) -> Column:
-    """0 to 63 in the order of CODONS, -1 for others; a stop codon at the end is dropped."""
-    table = F.create_map(*[F.lit(x) for i, c in enumerate(CODONS) for x in (c, i)])
-    stops = [c for c, a in zip(CODONS, GENETIC_CODE, strict=True) if a == "*"]
-    all_ = codons(s, frame)
-    kept = F.when(F.element_at(F.concat(F.array(F.lit("")), all_), -1).isin(stops), F.slice(all_, F.lit(1), F.size(all_) - 1)).otherwise(all_)
-    return F.transform(kept, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(-1)))
+    """Tokens of the codons of a frame; a stop codon at the end is dropped."""
+    stops = "|".join(c for c, a in zip(CODONS, GENETIC_CODE, strict=True) if a == "*")
+    up = F.translate(F.upper(F.substring(s, frame + 1, 2**31 - 1)), "U", "T")
+    kept = F.regexp_replace(F.regexp_replace(up, "^((?:.{3})*).{0,2}$", "$1"), f"(?:{stops})$", "")
+    return F.transform(F.regexp_extract_all(kept, F.lit(".{3}"), F.lit(0)), codon_token)
 
 
 def codon_detokenize(tokens: Column) -> Column:
-    table = F.array(*map(F.lit, CODONS))
-    return F.array_join(F.transform(tokens, lambda t: F.when(t >= 0, F.try_element_at(table, t + 1)).otherwise(F.lit("NNN"))), "")
+    return F.array_join(F.transform(tokens, lambda t: F.when(t >= 0, F.substring(F.lit("".join(CODONS)), 3 * t + 1, F.lit(3))).otherwise(F.lit("NNN"))), "")
 
 
 def translated(s: Column, frame: int = 0) -> Column:
     """Protein of a frame; X for codons with other letters."""
-    table = F.create_map(*[F.lit(x) for c, a in zip(CODONS, GENETIC_CODE, strict=True) for x in (c, a)])
-    return F.array_join(F.transform(codons(s, frame), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    acid = lambda c: F.when((t := codon_token(c)) >= 0, F.substring(F.lit(GENETIC_CODE), t + 1, F.lit(1))).otherwise(F.lit("X"))
+    return F.array_join(F.transform(codons(s, frame), acid), "")
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Substrings of k symbols in order of position."""
-    n = F.length(s) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(s, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Substrings of k symbols in order of position: what a look-ahead captures at every place, in one pass."""
+    return F.regexp_extract_all(s, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def kmer_code(kmer: Column, alphabet: str) -> Column:

@@ -90,10 +90,10 @@ def posteriors(aln: DataFrame, model: Model, tree: Tree, least: float = 0.01) ->
     """(pattern, n, node, sym, prob) for inner nodes that have a residue, where prob is at least `least`."""
     inner = [i for i in range(len(tree.parent)) if i in tree.parent]
 
-    def emit(c: sumprod.Columns, _: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def emit(c: sumprod.Columns, tokens: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c.fill_down()
         p = c.posterior()[inner]
-        v, row, s = np.nonzero(p >= least)
+        v, row, s = np.nonzero((p >= least) & (tokens.T[inner] != sumprod.GAP)[:, :, None])
         pick = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(pick), b.column(1).take(pick), pa.array(np.array(inner, np.int32)[v]), pa.array([model.alphabet[i] for i in s], pa.string()), pa.array(p[v, row, s])], ["pattern", "n", "node", "sym", "prob"]

@@ -12,6 +12,8 @@ from ..functions import sequences as sq
 from ..kernels import pairdp
 from ..kernels.model import Model
 
+CELLS = 8_000_000
+
 
 def kmer_index(seqs: DataFrame, k: int) -> DataFrame:
     """(ds, row, seq): a row for each k-mer and position."""
@@ -54,9 +56,16 @@ def aligned_pairs(seqs: DataFrame, pairs: DataFrame, model: Model, t: float = 1.
         tokens = lambda s: np.array([code.get(x, -2) for x in s], np.int64)
         for b in batches:
             out = []
-            for s1, s2 in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                score, path = pairdp.viterbi(tokens(s1), tokens(s2), sub, gaps)
-                out.append((score, *pairdp.gapped(s1, s2, path)))
+            texts = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
+            lo = 0
+            while lo < len(texts):  # as many pairs in step as CELLS of back pointers allow
+                hi, n, m = lo, 0, 0
+                while hi < len(texts) and (hi == lo or (hi - lo + 1) * (max(n, len(texts[hi][0])) + 1) * (n + m + len(texts[hi][0]) + len(texts[hi][1])) <= CELLS):
+                    n, m, hi = max(n, len(texts[hi][0])), max(m, len(texts[hi][1])), hi + 1
+                some = texts[lo:hi]
+                for (s1, s2), (score, path) in zip(some, pairdp.viterbi_batch([tokens(s[0]) for s in some], [tokens(s[1]) for s in some], sub, gaps), strict=True):
+                    out.append((score, *pairdp.gapped(s1, s2, path)))
+                lo = hi
             score, g1, g2 = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score, pa.float64()), pa.array(g1, pa.string()), pa.array(g2, pa.string())], ["ds", "row1", "row2", "score", "gapped1", "gapped2"])
 
