@@ -124,7 +124,7 @@ def evidence(pages: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
                     own_html = html[chunk.first : chunk.first + chunk.n]
                     x, own = trigrams(chunk)
                     n = np.bincount(own, minlength=chunk.n)
-                    score = np.stack([np.bincount(own, col[x], chunk.n) for col in table.T], 1)
+                    score = np.stack([np.bincount(own, col[x], chunk.n) for col in table.T], 1).astype(float)
                     score *= (np.minimum(n, TRIGRAMS) / np.maximum(n, 1))[:, None]
                     at = lo + chunk.first
                     host, domain, suffix = zip(*map(host_of, urls[at : at + chunk.n]), strict=True)

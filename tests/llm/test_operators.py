@@ -1,0 +1,276 @@
+"""The corpus operators on small fixtures: against brute force, and with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cladeworks.llm import common as c, decontaminate, langid, line_dedup, lm_score, mixing, mpeg, near_join, quality_fm, secrets_crf, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, vocab=60):
+    return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3 if i is not None else 0}", None if t is None else len(t)) for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    out = [(0, None), (1, ""), (2, " \n\t "), (3, "one"), (4, "Ünï cödé WORDS w1 w2")]
+    base = words(rng, 80)
+    out += [(10, base), (11, base), (12, base + " extra"), (13, base.replace("w1 ", "w2 ")), (14, "\n".join([words(rng, 30), base, words(rng, 5)]))]
+    out += [(20 + i, "\n".join(words(rng, rng.randrange(1, 40)) for _ in range(rng.randrange(1, 8)))) for i in range(25)]
+    run = "\n".join(words(rng, 26) for _ in range(3))
+    out += [(50 + i, f"{words(rng, 9)}\n{run}\n\n{words(rng, 4)}") for i in range(4)]
+    out.append((60, words(rng, 30_000, 9000)))
+    return out
+
+
+def test_decontaminate(spark, texts):
+    rng = random.Random(9)
+    long = texts[9][1].split("\n")[1]
+    items = [("a", " ".join(long.split()[5:30])), ("b", "W1, w2"), ("c", None), ("d", ""), ("e", words(rng, 14)), ("b", "W1, w2"), (None, "one")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = {d: decontaminate.brute(t, [x for x in items if x[0] is not None] + [("", "one")]) for d, t in texts}
+    docs = frame(spark, texts).withColumn("c0", F.lit(7)).withColumn("x", F.lit("x"))
+    for size in (1 << 20, 40):  # one block, and several
+        got = decontaminate.decontaminate(docs, bench, block_bytes=size)
+        assert got.columns == [*docs.columns, "_leaks"] and got.count() == len(texts)
+        for r in got.collect():
+            n, hits, found = want[r.doc_id]
+            assert (r._leaks.n_words, set(r._leaks.hits), r._leaks["items"]) == (n, hits, [x for x in found if x])
+    assert decontaminate.leaks(docs.limit(0), bench).count() == 0
+    assert decontaminate.leaks(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (1, 50)])
+def test_near_join(spark, texts, k, num):
+    rng = random.Random(k)
+    near = dict(texts)
+    for g in range(3):
+        base = words(rng, 60, 500).split()
+        for i in range(8):
+            own = list(base)
+            for _ in range(i % 4):
+                own[rng.randrange(60)] = f"z{rng.randrange(99)}"
+            near[100 + 10 * g + i] = " ".join(own)
+    rows = {(r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(frame(spark, [*near.items(), (None, "w1 w2 w3"), (10, near[10])]), k=k, num=num, den=100).collect() if r.doc_id is not None}
+    assert rows == {(d, *x) for d, x in near_join.brute(near, k, num, 100).items()}
+
+
+def test_near_join_keeps_one(spark):
+    docs = frame(spark, [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words are here now"), (None, "a b c d e f g"), (4, None)]).withColumn("id", F.lit(1))
+    assert sorted(str(r.doc_id) for r in near_join.keep_one(docs).collect()) == ["1", "2", "4", "None"]
+    assert near_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_lm_score(spark, texts):
+    labels = spark.createDataFrame([(10, 1), (10, 1), (14, 1), (20, 0), (21, None), (None, 1), (999, 1)], "doc_id long, quality int")
+    want = lm_score.brute(texts, {10, 14}, 200, 400)
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(frame(spark, texts), labels, words=200, bigrams=400).collect()}
+    for (d, _), (n, target, background) in zip(texts, want, strict=True):
+        assert got[d].n_tokens == n
+        assert (got[d].target_loss, got[d].background_loss) == pytest.approx((target, background))
+        assert got[d].score == pytest.approx(target - background)
+    assert lm_score.cross_entropy_difference(frame(spark, texts).limit(0), labels).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "x" * (17 << 20)
+    pages = [(5, "http://a/ü", "<p>one</p>"), (2, "http://b/", "<p>one</p>"), (7, None, "<p>one</p>"), (8, "http://c/ \r\nX: y", None), (9, "u", ""), (1, "u", "two\r\n\r\nthree\0"), (2, "http://b/", "<p>one</p>"), (None, "u", "<p>one</p>"), (30, "u", big)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(warc.round_trip(df).collect(), key=str)
+    assert len(got) == len(pages)
+    first = {}
+    for p, _, h in pages:
+        if p is not None:
+            first[h or ""] = min(first.get(h or "", p), p)
+    for r in got:
+        html = next(h or "" for p, _, h in pages if p == r.page_id)
+        assert r.payload_bytes == len(html.encode()) and r.payload_digest == warc.base32_sha1(hashlib.sha1(html.encode()).hexdigest())
+        origin = first[html]
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id in (None, origin) else ("revisit", origin))
+    assert warc.round_trip(df.limit(0)).count() == 0
+    path = f"file://{tmp_path}/w"
+    warc.write(df, path, records=2)
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part")]
+    import gzip
+
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in files)
+    assert text.count(b"WARC/1.1\r\n") == len(pages) and b"\nX: y" not in text
+
+
+def test_langid(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog with that", "en"), ("der hund und die katze mit das", "de")] * 5 + [(None, "en"), ("x", None)])], "doc_id long, text string, lang string")
+    page = lambda body, lang: f'<html lang="{lang}"><script>der die das</script><body>{body}</body></html>'
+    pages = [(1, "http://a.b.com/x", page("the dog and that cat", "en")), (2, "http://q.b.de", page("die katze und der hund", "de")), (3, None, None), (4, "::bad[", ""), (5, "http://q.b.de/2", page("", "de")), (2, "http://q.b.de", page("the dog with the cat", "en"))]
+    got = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()
+    assert len(got) == len(pages)
+    by = {(r.page_id, r.text_lang, r.lang) for r in got}
+    assert {(1, "en", "en"), (2, "de", "de"), (2, "en", "en")} <= by
+    assert next(r.lang for r in got if r.page_id == 5) == "de"
+    assert all(0.5 <= r.posterior <= 1 for r in got)
+    empty = langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs.limit(0)).collect()
+    assert len(empty) == len(pages) and all(r.lang is None for r in empty)
+
+
+def secret_docs():
+    rng = random.Random(2)
+    out = []
+    for i in range(120):
+        lines = [words(rng, 12) for _ in range(4)]
+        if i % 3 == 0:
+            lines[1] += f" password={rng.randbytes(9).hex()} end"
+        if i % 5 == 0:
+            lines[2] += " AKIA" + "".join(rng.choices("ABCDEF0123456789", k=16))
+        out.append((i, "\n".join(lines)))
+    return [*out, (500, None), (501, ""), (502, "é token: token: \"abcdefghijklmnop"), (503, "é api-key=x API_KEY = 'abcdefghijkl' 0123456789abcdef0")]
+
+
+def test_secrets(spark):
+    rows = secret_docs()
+    got = {r.doc_id: r for r in secrets_crf.secrets(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        spans = secrets_crf.base_spans(t or "")
+        r = got[d]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in spans) for k in secrets_crf.KINDS[:3])
+        assert r.base_sha256 == hashlib.sha256(secrets_crf.joined(spans).encode()).hexdigest()
+        assert set(filter(None, secrets_crf.joined(spans).split(","))) <= set(r.spans.split(","))
+    assert got[502].n_assign == 0 and got[503].n_assign == 1 and got[503].n_hex == 1
+    assert "assign:12:35" in got[503].spans
+    assert secrets_crf.secrets(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_viterbi_of_the_field_is_the_best_path():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    f = secrets_crf.Field()
+    f.t, f.s = rng.normal(size=(3, 3)), rng.normal(size=3)
+    first = np.array([0, 4, 5, 8])
+    scores = rng.normal(size=(8, 3))
+    t, s = f.allowed()
+    got = f.viterbi(scores, first)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        value = lambda p, a=a: s[p[0]] + sum(scores[a + i, x] for i, x in enumerate(p)) + sum(t[x, y] for x, y in zip(p, p[1:], strict=False))
+        best = max(itertools.product(range(3), repeat=b - a), key=value)
+        assert tuple(got[a:b]) == best
+
+
+def test_factorisation_identity_and_held_out(spark):
+    rng = np.random.default_rng(1)
+    m = quality_fm.Machine(np.zeros(quality_fm.DENSE), np.ones(quality_fm.DENSE))
+    m.w, m.v = rng.normal(size=m.w.shape), rng.normal(size=m.v.shape)
+    dense, word, x = rng.normal(size=(1, quality_fm.DENSE)), np.array([3, 9, 77]), rng.random(3)
+    full = np.zeros(len(m.w))
+    full[word], full[1 << quality_fm.BITS :] = x, dense[0]
+    on = np.flatnonzero(full)
+    want = full @ m.w + sum(full[i] * full[j] * (m.v[i] @ m.v[j]) for a, i in enumerate(on) for j in on[a + 1 :])
+    assert m.margin(dense, np.zeros(3, np.int64), word, x)[0][0] == pytest.approx(want)
+    r = random.Random(6)
+    good, bad = lambda: words(r, 40) + ".", lambda: " ".join(f"W{r.randrange(50)}!!$$" for _ in range(40))
+    rows = [(i, good() if i % 3 else bad()) for i in range(300)] + [(900, None), (901, ""), (None, "x")]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    got = quality_fm.predictions(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
+    held = [x for x in got if x.held_out and x.doc_id is not None and x.doc_id < 300]
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) for x in got if x.doc_id is not None)
+    assert held and np.mean([x.predicted == int(x.doc_id % 3 > 0) for x in held]) > 0.95
+    assert {x.score for x in quality_fm.predictions(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_mpeg_round_trip(spark):
+    rows = [(1, None), (2, ""), (3, "abc"), (4, "é" * 1000), (3, "abc"), (5, "\xff\xfb" * 2000)]
+    got = mpeg.digest(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        raw = (dict(rows)[r.doc_id] or "").encode()
+        padded = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        media = mpeg.encode(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_mpeg_streams(spark):
+    media = mpeg.encode(bytes(range(256)) * 9)
+    s = mpeg.parse(media)
+    assert s.frames == 4 and s.samples == 4 * 576 and s.hertz == 16000 and s.bad == 0 and s.checked == 4
+    damaged = bytearray(b"junk\xff\xfb" + media)
+    damaged[s.seek[1] + 6 + 7] ^= 1  # in the side information of the second frame
+    x = mpeg.parse(bytes(damaged))
+    assert x.frames == 4 and x.bad == 1 and x.skipped > 0
+    cut = mpeg.parse(media[: s.seek[2] + 10] + media[s.seek[3] :] + b"TAG" + b"name".ljust(125, b"\0"))
+    assert cut.frames == 3 and cut.tags["title"] == "name" and cut.skipped == 10
+    layer1 = bytes([0xFF, 0xFF, 0xC0, 0x00]) + bytes(mpeg.header(bytes([0xFF, 0xFF, 0xC0, 0x00])).length - 4)
+    one = mpeg.parse(layer1 * 3)
+    assert (one.frames, one.samples, one.hertz) == (3, 1152, 44100)
+    with pytest.raises(ValueError):
+        mpeg.decode(bytes(damaged))
+    rows = mpeg.index(spark.createDataFrame([(1, bytearray(media)), (2, None), (3, bytearray(b"noise"))], "doc_id long, media binary")).collect()
+    assert [(r.frames, len(r.seek)) for r in sorted(rows)] == [(4, 4), (0, 0), (0, 0)]
+    assert struct.unpack(">I", media[media.index(b"Xing") + 8 : media.index(b"Xing") + 12])[0] == 4
+
+
+def test_line_dedup(spark, texts):
+    docs = frame(spark, texts).withColumn("line", F.lit("x")).withColumn("d", F.lit(1))
+    for least in (50, 12, 1):
+        want = line_dedup.brute(texts, least)
+        got = line_dedup.dedup(docs, min_words=least)
+        assert got.columns == [*docs.columns, "_lines"]
+        assert {r.doc_id: r.text for r in got.collect()} == {d: w for (d, _), w in zip(texts, want, strict=True)}
+    twice = frame(spark, [*texts, texts[14], (None, texts[14][1])])
+    got = line_dedup.digest(twice).collect()
+    assert len(got) == len(texts) + 2
+    assert line_dedup.digest(docs.limit(0)).count() == 0
+    assert line_dedup.stage(docs).columns == docs.columns
+
+
+def test_suffix_array(spark):
+    rng = random.Random(1)
+    docs = {d: [rng.randrange(3) for _ in range(12)] for d in range(4)}
+    rows = [(d, 0, i, 1, x) for d, xs in docs.items() for i, x in enumerate(xs)]
+    t = c.Tables(spark)
+    got = line_dedup.suffix_array(spark.createDataFrame(rows, "d long, t long, line int, words int, id long"), 16, t).collect()
+    suffix = lambda r, n: tuple(docs[r.d][r.line : r.line + n])
+    for level, n in enumerate((1, 2, 4, 8, 16)):
+        ranked = sorted(got, key=lambda r: r[f"r{level}"])
+        assert [suffix(r, n) for r in ranked] == sorted(suffix(r, n) for r in got)
+        assert all((a[f"r{level}"] == b[f"r{level}"]) == (suffix(a, n) == suffix(b, n)) for a, b in zip(ranked, ranked[1:], strict=False))
+
+
+def test_mixing(spark):
+    rows = [(i, f"t{i}", None, ("a" if i % 10 < 6 else "b" if i % 10 < 9 else None), None) for i in range(2000)] + [(None, "x", None, "a", None)] + [(5, "t5", None, "a", None)] * 2
+    docs = spark.createDataFrame(rows, DOCS).withColumn("number", F.lit(3)).withColumn("r", F.lit(4))
+    weights = {"a": 0.5, "b": 0.3, None: 0.2}
+    got = mixing.mix(docs, weights, block=4, period=100).collect()
+    assert len(got) == len(rows) and len({r._mix.position for r in got}) == len(rows)
+    assert [r.asDict()["number"] for r in got[:1]] == [3]
+    served = mixing.brute([50, 30, 20], 200)
+    by_slot = {r._mix.slot: r.source for r in got}
+    assert all(by_slot.get(s, n) == n for s, n in ((s, ["a", "b", None][x]) for s, x in enumerate(served)))
+    for t in range(1, 200):
+        for i, w in enumerate((0.5, 0.3, 0.2)):
+            assert abs(served[:t].count(i) - w * t) < 1
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.placed(docs.where("source = 'b'")).count() == 600
+    ordered = [r.doc_id for r in mixing.stage(docs.where("source = 'b'")).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_chunks_give_every_text(spark):
+    col = pa.array(["a b", None, "", "ü x"] * 50).slice(3, 120)
+    parts = list(c.chunks(col, 10))
+    assert sum(p.n for p in parts) == 120
+    assert b"".join(p.buf.tobytes() for p in parts).decode() == "".join(x or "" for x in col.to_pylist())
