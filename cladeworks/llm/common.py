@@ -8,6 +8,7 @@ classes over ASCII give the same words as the character classes they stand for.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +62,8 @@ class Tables:
     def cut(self, df: DataFrame, *, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
         path = scratch(self.spark)
         df.write.option("compression", "zstd").parquet(path)
+        gc.collect()  # Spark deletes the shuffle files behind the table once the driver has collected what refers to them
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         self.drop(*drop)
