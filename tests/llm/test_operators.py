@@ -68,6 +68,16 @@ def test_near_join(spark, texts, k, num):
     assert rows == {(d, *x) for d, x in near_join.brute(near, k, num, 100).items()}
 
 
+def test_near_join_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "SHARE", 0.0)
+    monkeypatch.setattr(near_join, "ROUND", 400)
+    rng = random.Random(8)
+    base = words(rng, 40, 500).split()
+    near = {i: " ".join([*base[:i], "z", *base[i:]]) for i in range(6)} | {9: words(rng, 50, 500)}
+    rows = {(r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(frame(spark, list(near.items())), k=2, num=85, den=100).collect()}
+    assert rows == {(d, *x) for d, x in near_join.brute(near, 2, 85, 100).items()}
+
+
 def test_near_join_keeps_one(spark):
     docs = frame(spark, [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words are here now"), (None, "a b c d e f g"), (4, None)]).withColumn("id", F.lit(1))
     assert sorted(str(r.doc_id) for r in near_join.keep_one(docs).collect()) == ["1", "2", "4", "None"]
