@@ -84,6 +84,18 @@ def placed(docs: DataFrame) -> DataFrame:
     return mix(docs.select("doc_id", "source")).select("doc_id", "source", "_mix.block", "_mix.slot", "_mix.position")
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs, with columns mix_block, mix_slot and mix_position. So the mixture outlives a table, whose readers
+    don't keep the order of rows. Underscores are put before the names while one of them is a column of docs."""
+    names, prefix = {n.lower() for n in docs.columns}, "mix_"
+    while names & {prefix + n for n in ("block", "slot", "position")}:
+        prefix = "_" + prefix
+    out = prefix + "place"
+    while out in names:
+        out = "_" + out
+    return mix(docs, out=out).select(*[f"`{n}`" for n in docs.columns], *[F.col(f"{out}.{n}").alias(prefix + n) for n in ("block", "slot", "position")])
+
+
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of docs in the order of the mixture."""
     return mix(docs).orderBy("_mix.position").select(*docs.columns)

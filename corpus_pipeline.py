@@ -1,7 +1,8 @@
 """A corpus pipeline over documents: quality, repeated lines, near copies, benchmark leaks, mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last one's rows are in the order of the
-mixture. Near copies are those of the default, five words and a similarity of 0.8 or more. Documents that hold a benchmark
+mixture. A table that is read again doesn't keep that order, so run() has each document's place as columns mix_block, mix_slot and
+mix_position, and sorting by the last of them gives the mixture. Near copies are those of the default, five words and a similarity of 0.8 or more. Documents that hold a benchmark
 window go as a whole. No SQL can state the first stage, whose model is trained, so ORACLE_SQL is None; tests hold the stages
 against brute force.
 """
@@ -39,8 +40,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet and read again by the next."""
+    """Applies the stages to documents, each written as Parquet and read again by the next; the last with places in the mixture."""
     docs, tables = common.table(spark, sf_dir, "documents"), common.Tables(spark)
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = tables.cut(stage(spark, docs, sf_dir), drop=(docs,))
-    return docs
+    return tables.cut(mixing.places(docs), drop=(docs,))

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from cladeworks.llm import decontaminate, line_dedup, near_join
+from cladeworks.llm import decontaminate, line_dedup, mixing, near_join
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no supplied tables")
@@ -36,6 +36,29 @@ def test_pipeline(spark):
             assert dict(after) == before and len(after) == len(before)
 
 
+def test_run_returns_places_in_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    ids = {}
+    for r in docs.select("doc_id", "source").collect():
+        ids.setdefault((r.source is None, r.source or ""), []).append(r.doc_id)
+    names = sorted(ids)
+    w = [int(len(ids[n]) ** 0.5 * 1000000) for n in names]
+    quota = [x * 1000 // sum(w) for x in w]
+    for i in sorted(range(len(w)), key=lambda i: -(w[i] * 1000 % sum(w)))[: 1000 - sum(quota)]:
+        quota[i] += 1
+    got = corpus_pipeline.run(spark, DATA)
+    assert got.columns == [*docs.columns, "mix_block", "mix_slot", "mix_position"]
+    rows = got.orderBy("mix_position").collect()
+    want, left = [], {n: sorted(x) for n, x in ids.items()}
+    for s, i in enumerate(mixing.brute(quota, rows[-1].mix_slot + 1)):
+        block, left[names[i]] = left[names[i]][:16], left[names[i]][16:]
+        want += [(d, s, s * 16 + k) for k, d in enumerate(block)]
+    assert [(r.doc_id, r.mix_slot, r.mix_position) for r in rows] == want
+    clash = mixing.places(docs.withColumn("Mix_Slot", docs.n_chars))
+    assert clash.columns[-3:] == ["_mix_block", "_mix_slot", "_mix_position"] and clash.count() == len(rows)
+
+
 def test_registered():
     import __spark_entry__ as driver
 
