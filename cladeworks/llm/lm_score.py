@@ -1,13 +1,17 @@
 """LM scoring by cross-entropy difference (target minus background; lower: more like the target).
 
-Two word-bigram models with one vocabulary, the same smoothing and the same choice of bigrams: the background is counted over all
-documents, the target over those that labels mark with quality 1. All counts are exact sums over the whole corpus, added up within
-a task before they are shuffled. Two rules, alike at every size, bound what is broadcast: a word is in the vocabulary if at least one in
-VOCABULARY running words is it, so there are VOCABULARY of them at most, and other words are one unknown word; a bigram has its own count
-if it is one in BIGRAMS of either corpus, so there are 2 * BIGRAMS at most, and others have count 0 in both models.
+Two word-bigram models over one vocabulary, with the same smoothing: the background is counted over all documents, the target over those
+that labels mark with quality 1. Every word and every bigram has its own exact count, so both tables grow with the corpus; they are
+written, and joined with the bigrams of the documents, never broadcast. Bigrams are handled in ROUNDS parts by their hash, at every size,
+so that only one part of them is on disk at a time. A round writes the counts of bigrams in each document, sums them to the models'
+losses, a row a bigram, and joins the two; a bigram that is in many documents is dealt by document, as its side of the join can be split.
 
-P(w | h) = (c(h, w) + K * P(w)) / (c(h) + K), P(w) = (c(w) + 1) / (N + V), over tokens and vocabulary. So a token's loss difference is
-one number for its bigram, if that has a count, or the sum of one for its word and one for the word before it. h starts as a mark.
+With words or bigrams given, two models bounded by relative frequency are broadcast instead: a word is in the vocabulary if at least one in
+`words` running words is it, and other words are one unknown word; a bigram has its own count if it is one in `bigrams` of either
+corpus, and others have count 0 in both models. The query doesn't use them.
+
+P(w | h) = (c(h, w) + K * P(w)) / (c(h) + K), P(w) = (c(w) + 1) / (N + V), over tokens and vocabulary, V counting the unknown
+word too. h starts as a mark. Words stand as 64-bit hashes.
 
 Words are runs of anything but ASCII white space, lower-cased over A-Z. Null or empty texts have no tokens and score 0. Labels that are
 null or have no document are ignored, repeated ones count once; rows that repeat a doc_id are counted and scored one by one.
@@ -27,6 +31,8 @@ VOCABULARY = 50_000
 BIGRAMS = 500_000
 K = 50.0
 MERGE = 1 << 21
+ROUNDS = 8
+MARK = np.uint64(0x1B873593CC9E2D51)
 
 
 class Sums:
@@ -182,8 +188,97 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
+def _counted(texts: DataFrame, tables: c.Tables) -> DataFrame:
+    """Written counts of each word and the mark in target and background: w, wt, wb (as a word), ht, hb (before another word)."""
+    names = ["w", "wt", "wb", "ht", "hb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        out = lambda p: pa.RecordBatch.from_arrays([pa.array(c.signed(p[0])), *map(pa.array, p[1:])], names)
+        for b in batches:
+            target = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            for chunk in c.chunks(b.column(1)):
+                h, first = _words(chunk)
+                n, t = np.diff(first), target[chunk.first : chunk.first + chunk.n]
+                keys, of = np.unique(h, return_inverse=True)
+                inside, filled = np.repeat(t, n), n > 0
+                count = lambda x, size=len(keys): np.bincount(x, minlength=size)
+                last = of[first[1:][filled] - 1]
+                words = [count(of[inside]), count(of[~inside])]
+                sums.add(keys, *words, words[0] - count(last[t[filled]]), words[1] - count(last[~t[filled]]))
+                sums.add(np.array([MARK]), *(np.array([x]) for x in (0, 0, (t & filled).sum(), (~t & filled).sum())))
+                if sums.full():
+                    yield out(sums.merge())
+                    sums = Sums()
+        if (p := sums.merge()) is not None:
+            yield out(p)
+
+    counts = texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return tables.cut(counts.groupBy("w").agg(*[F.sum(n).alias(n) for n in names[1:]]))
+
+
+def _pairs(texts: DataFrame, part: int, parts: int) -> DataFrame:
+    """rid, h, w, n: the bigrams of one part, counted within each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk in c.chunks(b.column(1)):
+                w, first = _words(chunk)
+                if not len(w):
+                    continue
+                h = np.empty_like(w)
+                h[1:] = w[:-1]
+                h[first[:-1][np.diff(first) > 0]] = MARK
+                key = c.mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+                at = np.flatnonzero(key % np.uint64(parts) == part)
+                own = c.owner(first)[at]
+                by = np.lexsort((key[at], own)) if len(at) else at
+                at, own = at[by], own[by]
+                new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (h[at[1:]] != h[at[:-1]]) | (w[at[1:]] != w[at[:-1]]))))[: len(at)]
+                n = np.diff(np.append(new, len(at)))
+                at, rid = at[new], b.column(0).slice(chunk.first, chunk.n).take(pa.array(own[new]))
+                yield pa.RecordBatch.from_arrays([rid, pa.array(c.signed(h[at])), pa.array(c.signed(w[at])), pa.array(n.astype(np.int32))], ["rid", "h", "w", "n"])
+
+    return texts.mapInArrow(run, "rid long, h long, w long, n int")
+
+
+def full(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """What score() returns, from models with the counts of all words and all bigrams."""
+    tables = c.Tables(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    target = tables.cut(docs.join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
+    # rows alike in doc_id and text share a rid: they have the same losses, and their tokens are divided by their number
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    texts = named.select("rid", "text").union(target.select(F.lit(None).cast("long").alias("rid"), "text"))
+    counts = _counted(texts, tables)
+    nt, nb, v = (x or 0 for x in counts.agg(F.sum("wt"), F.sum("wb"), F.count_if(F.col("wb") > 0)).first())
+    p = lambda n, total: F.lit(K) * (F.col(n) + 1) / F.lit(float(total + v + 1))
+    word = counts.where("wb > 0").select("w", p("wt", nt).alias("pt"), p("wb", nb).alias("pb"))
+    before = counts.where("hb > 0").select(F.col("w").alias("h"), F.log(F.col("ht") + K).alias("lt"), F.log(F.col("hb") + K).alias("lb"))
+    sums = []
+    for part in range(rounds):
+        pairs = tables.cut(_pairs(texts, part, rounds))
+        seen = F.col("rid").isNotNull()
+        bigrams = pairs.groupBy("h", "w").agg(F.sum(F.when(~seen, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("b"))
+        models = bigrams.join(word.hint("shuffle_hash"), "w").join(before.hint("shuffle_hash"), "h")
+        models = tables.cut(models.select("h", "w", (F.col("lt") - F.log(F.col("t") + F.col("pt"))).alias("t"), (F.col("lb") - F.log(F.col("b") + F.col("pb"))).alias("b")))
+        of = pairs.where(seen).join(models.hint("shuffle_hash"), ["h", "w"]).groupBy("rid")
+        sums.append(tables.cut(of.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("t")).alias("t"), F.sum(F.col("n") * F.col("b")).alias("b")), drop=(pairs, models)))
+    tables.drop(counts, target)
+    every = sums[0]
+    for x in sums[1:]:
+        every = every.union(x)
+    every = every.groupBy("rid").agg(*[F.sum(x).alias(x) for x in "ntb"])
+    ids = named.select("doc_id", "rid")
+    alike = ids.groupBy("rid").agg(F.count("*").alias("rows"))
+    out = ids.join(alike.join(every, "rid").hint("shuffle_hash"), "rid", "left")
+    target, background = (F.coalesce(F.col(x) / F.col("n"), F.lit(0.0)) for x in "tb")
+    return out.select("doc_id", F.coalesce(F.expr("n div rows"), F.lit(0)).cast("long").alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, **kw: int) -> DataFrame:
-    return score(docs, train(docs, labels, **kw))
+    return score(docs, train(docs, labels, **kw)) if kw else full(docs, labels)
 
 
 def brute(texts: list[tuple[int, str | None]], target: set[int], words: int, bigrams: int) -> list[tuple[int, float, float]]:

@@ -95,6 +95,18 @@ def test_lm_score(spark, texts):
     assert lm_score.cross_entropy_difference(frame(spark, texts).limit(0), labels).count() == 0
 
 
+def test_lm_score_counts_every_word_and_bigram(spark, texts, monkeypatch):
+    monkeypatch.setattr(lm_score.full, "__defaults__", (3,))
+    texts = [*texts, (61, " ".join(["w0"] * 120_000)), (62, "rare pair"), (62, "rare pair"), (62, "other"), (63, "rare pair"), (None, "rare pair w1")]
+    labels = spark.createDataFrame([(10, 1), (14, 1), (63, 1), (63, 1), (999, 1), (None, 1)], "doc_id long, quality int")
+    want = lm_score.brute(texts, {10, 14, 63}, 10**12, 10**12)
+    assert sum(len((t or "").split()) for _, t in texts) > 2 * lm_score.VOCABULARY  # so that a word seen once falls under the old bound
+    got = lm_score.cross_entropy_difference(frame(spark, texts), labels).collect()
+    row = lambda d, n, t, b: (d is None, d or 0, n, round(t, 6), round(b, 6))
+    assert sorted(row(r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got) == sorted(row(d, *x) for (d, _), x in zip(texts, want, strict=True))
+    assert all(r.score == pytest.approx(r.target_loss - r.background_loss) for r in got)
+
+
 def test_warc(spark, tmp_path):
     big = "x" * (17 << 20)
     pages = [(5, "http://a/ü", "<p>one</p>"), (2, "http://b/", "<p>one</p>"), (7, None, "<p>one</p>"), (8, "http://c/ \r\nX: y", None), (9, "u", ""), (1, "u", "two\r\n\r\nthree\0"), (2, "http://b/", "<p>one</p>"), (None, "u", "<p>one</p>"), (30, "u", big)]
