@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions (but for long periods, below).
 
 Rows of a source, in the order of doc_id, form blocks of `block` rows. Weights are quotas of a period of `period` slots, one block a slot.
 Block j of a source with quota q has the release time floor(j * period / q) and the deadline ceil((j + 1) * period / q). In each slot,
@@ -12,22 +12,30 @@ range counts on from the ones before it. Only counts by range and source, and on
 range and source met in it, and `period` rows.
 
 Weights that are not given are the square roots of the sources' numbers of rows. Quotas are rounded by largest remainder, with 1 at
-least. Sources may number half of the period at most. A null source is a source of its own, named last. Null doc_ids come
+least. If sources number over half of the period, or those below a slot take more than rounding leaves over, the period is LONGER times as
+long, and 10 slots a source at least, so any number of sources fits. What the floor of 1 then still takes, at most a tenth of all slots,
+comes off all larger quotas in proportion, by largest remainder. A long period is scheduled on the driver with a heap, from a number for each source.
+A null source is a source of its own, named last. Null doc_ids come
 first; ties and repeated rows are ordered among themselves by their other columns, and are all kept. Any columns are kept.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common as c
 
 BLOCK = 16
 PERIOD = 1000
+LONGER = 100
 
 
 def quotas(counts: DataFrame, weights: dict[str | None, float] | None, period: int) -> DataFrame:
-    """counts (none, name, rows), one row a source: quota and number (from 0, by name) of each."""
+    """counts (none, name, rows), one row a source: quota and number (from 0, by name) of each, and what the floor of 1 took from the rest."""
     if weights is None:
         w = F.floor(F.sqrt(F.col("rows").cast("double")) * 1000000)
     else:
@@ -35,11 +43,14 @@ def quotas(counts: DataFrame, weights: dict[str | None, float] | None, period: i
         w = F.floor(F.when(F.col("none"), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(F.try_element_at(given, F.col("name")), F.lit(0.0))) * 1000000)
     everything = Window.partitionBy(F.lit(0))
     x = counts.withColumn("w", w.cast("long")).withColumn("all", F.sum("w").over(everything))
-    x = x.withColumn("base", F.greatest(F.lit(1), F.expr(f"(w * {period}L) div all"))).withColumn("left", F.expr(f"(w * {period}L) % all"))
-    x = x.withColumn("rest", F.lit(period) - F.sum("base").over(everything))
-    x = x.withColumn("by_left", F.row_number().over(everything.orderBy(F.desc("left"), "none", "name"))).withColumn("by_size", F.row_number().over(everything.orderBy(F.desc("base"), "none", "name")))
-    q = F.col("base") + F.when(F.col("by_left") <= F.col("rest"), 1).when((F.col("rest") < 0) & (F.col("by_size") == 1), F.col("rest")).otherwise(0)
-    return x.select("none", "name", q.cast("int").alias("quota"), (F.row_number().over(everything.orderBy("none", "name")) - 1).alias("number"))
+    x = x.withColumn("base", F.greatest(F.lit(1), F.expr(f"(cast(w AS decimal(20, 0)) * {period}) div all"))).withColumn("left", F.expr(f"(cast(w AS decimal(20, 0)) * {period}) % all"))
+    x = x.withColumn("rest", F.lit(period) - F.sum("base").over(everything)).withColumn("above", F.sum(F.col("base") - 1).over(everything))
+    over = "cast(greatest(-rest, 0) AS decimal(20, 0)) * (base - 1)"
+    x = x.withColumn("took", F.expr(f"({over}) div greatest(above, 1)")).withColumn("taken", F.expr(f"({over}) % greatest(above, 1)"))
+    x = x.withColumn("more", F.greatest(-F.col("rest"), F.lit(0)) - F.sum("took").over(everything))
+    x = x.withColumn("by_left", F.row_number().over(everything.orderBy(F.desc("left"), "none", "name"))).withColumn("by_taken", F.row_number().over(everything.orderBy(F.desc("taken"), "none", "name")))
+    q = F.col("base") - F.col("took") + F.when(F.col("by_left") <= F.col("rest"), 1).when(F.col("by_taken") <= F.col("more"), -1).otherwise(0)
+    return x.select("none", "name", q.cast("int").alias("quota"), (F.row_number().over(everything.orderBy("none", "name")) - 1).alias("number"), F.greatest(-F.col("rest"), F.lit(0)).alias("floors"))
 
 
 def schedule(quota: DataFrame, period: int) -> DataFrame:
@@ -53,6 +64,24 @@ def schedule(quota: DataFrame, period: int) -> DataFrame:
     return picks.select("number", (F.row_number().over(Window.partitionBy("number").orderBy("slot")) - 1).alias("turn"), "slot")
 
 
+def long_schedule(quota: DataFrame, period: int) -> DataFrame:
+    """What schedule() returns, in time that grows with the period and not with the sources too."""
+    q = quota.select("number", "quota").toArrow().sort_by("number")["quota"].to_pylist()
+    number, turn, slot = (np.empty(period, np.int64) for _ in range(3))
+    waiting, ready, n = [(0, i, 0) for i in range(len(q))], [], 0
+    for t in range(period):
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // q[i]), i, k))
+        if ready:
+            _, i, k = heapq.heappop(ready)
+            number[n], turn[n], slot[n], n = i, k, t, n + 1
+            if k + 1 < q[i]:
+                heapq.heappush(waiting, ((k + 1) * period // q[i], i, k + 1))
+    rows = pa.table({"number": pa.array(number[:n].astype(np.int32)), "turn": pa.array(turn[:n].astype(np.int32)), "slot": pa.array(slot[:n])})
+    return quota.sparkSession.createDataFrame(rows)
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block: int = BLOCK, period: int = PERIOD, out: str = "_mix") -> DataFrame:
     """All rows and columns of docs, with a struct column: block (number within the source), slot, position (the place in the mixture,
     unique; with gaps where a source has run out)."""
@@ -65,15 +94,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, bloc
     per = ranged.groupBy("none", "name", "part").agg(F.count("*").alias("n"), F.min("at").alias("least"))
     per = t.cut(per)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("none", "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = t.cut(quotas(per.groupBy("none", "name").agg(F.sum("n").alias("rows")), weights, period))
-    sources, least = quota.agg(F.count("*"), F.min("quota")).first()
-    if sources > period // 2 or (least is not None and least < 1):
-        raise ValueError(f"{sources} sources with quotas of {least} and more don't fit into a period of {period} slots")
+    counts, short = per.groupBy("none", "name").agg(F.sum("n").alias("rows")), period
+    quota = t.cut(quotas(counts, weights, period))
+    sources, floors = quota.agg(F.count("*"), F.max("floors")).first()
+    if sources > short // 2 or floors:
+        period = short * max(LONGER, -(-10 * sources // short))
+        quota = t.cut(quotas(counts, weights, period), drop=(quota,))
+    few = F.broadcast if period <= LONGER * max(short, PERIOD) else lambda df: df
     ranges = per.withColumn("shift", before - F.col("least")).join(quota, ["none", "name"]).select("part", "none", "name", "shift", "quota", "number")
-    numbered = ranged.join(F.broadcast(ranges), ["part", "none", "name"]).withColumn("k", F.col("at") + F.col("shift"))
+    numbered = ranged.join(few(ranges), ["part", "none", "name"]).withColumn("k", F.col("at") + F.col("shift"))
     numbered = numbered.withColumn("block", F.expr(f"k div {block}")).withColumn("turn", F.expr("cast(block % quota AS int)"))
-    slots = t.cut(schedule(quota, period)) if sources else schedule(quota, period)
-    placed = numbered.join(F.broadcast(slots), ["number", "turn"])
+    slots = t.cut((schedule if period == short else long_schedule)(quota, period)) if sources else schedule(quota, period)
+    placed = numbered.join(few(slots), ["number", "turn"])
     slot = F.expr(f"(block div quota) * {period} + slot")
     info = F.struct(F.col("block"), slot.alias("slot"), (slot * block + F.expr(f"k % {block}")).alias("position"))
     return placed.select("r", info.alias("x")).select("r.*", F.col("x").alias(out))

@@ -291,6 +291,24 @@ def test_mixing(spark):
     assert ordered == sorted(ordered)
 
 
+def test_mixing_many_and_rare_sources(spark):
+    names = [f"s{i:03}" for i in range(600)]
+    docs = spark.createDataFrame([(i, None, None, names[i % 600], None) for i in range(1300)], DOCS)
+    got = mixing.placed(docs).collect()  # more sources than half a period
+    assert len(got) == 1300 and len({r.position for r in got}) == 1300
+    names, weights = [f"s{i:02}" for i in range(12)], {"s00": 1000.0, "s01": 600.0, "s02": 0.0} | {f"s{i:02}": 1.0 for i in range(3, 12)}
+    docs = spark.createDataFrame([(i, None, None, names[i % 12], None) for i in range(1200)], DOCS)
+    period, total = 10 * mixing.LONGER, 1609
+    counts = docs.groupBy(F.lit(False).alias("none"), F.col("source").alias("name")).agg(F.count("*").alias("rows"))
+    quota = [r.quota for r in mixing.quotas(counts, weights, period).orderBy("number").collect()]
+    assert sum(quota) == period and quota[2:] == [1] * 10
+    assert all(abs(q - weights[n] / total * period) < 10 for q, n in zip(quota, names, strict=True)) and abs(quota[0] * 600 - quota[1] * 1000) < 1600
+    slots = {r.slot: r.source for r in mixing.mix(docs, weights, block=1, period=10).select("source", "_mix.slot").collect()}
+    served = mixing.brute(quota, 2 * period)
+    assert len(slots) == 1200 and all(slots.get(s, names[i]) == names[i] for s, i in enumerate(served))
+    assert sum(s < period for s in slots) == sum(min(100, q) for q in quota)
+
+
 def test_chunks_give_every_text(spark):
     col = pa.array(["a b", None, "", "ü x"] * 50).slice(3, 120)
     parts = list(c.chunks(col, 10))
