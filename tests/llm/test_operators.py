@@ -78,6 +78,12 @@ def test_near_join_in_rounds(spark, monkeypatch):
     assert rows == {(d, *x) for d, x in near_join.brute(near, 2, 85, 100).items()}
 
 
+def test_near_join_gives_rows_without_id(spark):
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "of no other document"), (None, "")]
+    got = near_join.join(frame(spark, rows), k=2, num=85, den=100).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 3, 0), (0, 4, 0), (1, 4, 1), (2, 4, 1)]
+
+
 def test_near_join_keeps_one(spark):
     docs = frame(spark, [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words are here now"), (None, "a b c d e f g"), (4, None)]).withColumn("id", F.lit(1))
     assert sorted(str(r.doc_id) for r in near_join.keep_one(docs).collect()) == ["1", "2", "4", "None"]
