@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -209,6 +209,17 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind) if kind else pa.array(values))
 
 
+def split_join(rows: DataFrame, ends: DataFrame, keys: list[str], count: str, n_rows: int, share: int = 1000) -> DataFrame:
+    """rows left joined with ends, one row a key, whose column count says how many rows have that key. Keys of more than one in `share` rows,
+    of which there are fewer than `share`, are broadcast, so that no task gets all rows of a hot key; the others meet in a shuffle."""
+    hot = F.broadcast(ends.where(F.col(count) * share > n_rows).withColumn("_hot", F.lit(True)))
+    cold = ends.where(F.col(count) * share <= n_rows).hint("merge")
+    tagged = rows.join(hot, keys, "left")
+    near = tagged.where("_hot").drop("_hot")
+    far = tagged.where("_hot IS NULL").select(*[f"`{n}`" for n in rows.columns]).join(cold, keys, "left")
+    return near.unionByName(far)
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows on the driver, for data with a stated bound; more of them are an error, never cut off."""
     rows = df.limit(most + 1).collect()
