@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 1 << 20
+COLLECT_S = 2.0
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,14 +58,18 @@ def remove(spark: SparkSession, path: str) -> None:
 class Tables:
     """Written intermediate tables of one operator. They cut lineage and outlive executors; drop() deletes those no longer read."""
 
+    collected = 0.0
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def cut(self, df: DataFrame, *, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
         path = scratch(self.spark)
         df.write.option("compression", "zstd").parquet(path)
-        gc.collect()  # Spark deletes the shuffle files behind the table once the driver has collected what refers to them
-        self.spark.sparkContext._jvm.System.gc()
+        if time.monotonic() - Tables.collected > COLLECT_S:  # Spark deletes shuffle files once the driver has collected what refers to them
+            Tables.collected = time.monotonic()
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         self.drop(*drop)
@@ -209,6 +215,33 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind) if kind else pa.array(values))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it while df has a column of that name."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """A column r: a struct of the columns of df, named c0, c1, ... so that no name can clash with another or hold a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(F.struct("*").alias("r"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, *others: str) -> DataFrame:
+    """rows with r as the columns that df had when it was packed, and other columns."""
+    flat = rows.select("r.*", *[F.col(x) for x in others])
+    return flat.toDF(*like.columns, *others)
+
+
+def maybe(rows: DataFrame, ends: DataFrame, keys: list[str], bits: int = 20) -> DataFrame:
+    """rows with a column may: true where one of 2^bits buckets says that the keys may be among those of ends, else null. What is broadcast is
+    one number a bucket at most. Where it's null a row needs no shuffle to learn that it meets nothing."""
+    bucket = F.xxhash64(*keys).bitwiseAND((1 << bits) - 1)
+    buckets = F.broadcast(ends.select(bucket.alias("_bucket")).distinct().withColumn("may", F.lit(True)))
+    return rows.withColumn("_bucket", bucket).join(buckets, "_bucket", "left").drop("_bucket")
+
+
 def split_join(rows: DataFrame, ends: DataFrame, keys: list[str], count: str, n_rows: int, share: int = 1000) -> DataFrame:
     """rows left joined with ends, one row a key, whose column count says how many rows have that key. Keys of more than one in `share` rows,
     of which there are fewer than `share`, are broadcast, so that no task gets all rows of a hot key; the others meet in a shuffle."""
