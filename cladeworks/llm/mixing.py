@@ -1,119 +1,107 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions (but for long periods, below).
-
-Rows of a source, in the order of doc_id, form blocks of `block` rows. Weights are quotas of a period of `period` slots, one block a slot.
-Block j of a source with quota q has the release time floor(j * period / q) and the deadline ceil((j + 1) * period / q). In each slot,
-of the sources whose next block is released, the one with the earliest deadline is served, ties going to the smaller name. With all
-quotas adding up to the period this is a Pfair schedule: after every slot each source is less than one block away from
-its weight's share, and each period repeats the first. So one period is scheduled, as a fold over its slots inside one expression, and
-every block's slot follows by arithmetic. When a source has no more rows its slots stay empty and the others keep their slots.
-
-Numbering rows within a source would put a hot source into one task; instead rows are sorted by range over source and doc_id, and each
-range counts on from the ones before it. Only counts by range and source, and one period, are broadcast: at most one row for each
-range and source met in it, and `period` rows.
-
-Weights that are not given are the square roots of the sources' numbers of rows. Quotas are rounded by largest remainder, with 1 at
-least. If sources number over half of the period, or those below a slot take more than rounding leaves over, the period is LONGER times as
-long, and 10 slots a source at least, so any number of sources fits. What the floor of 1 then still takes, at most a tenth of all slots,
-comes off all larger quotas in proportion, by largest remainder. A long period is scheduled on the driver with a heap, from a number for each source.
-A null source is a source of its own, named last. Null doc_ids come
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame functions.
+
+Rows of a source, in the order of doc_id, form blocks of `block` rows. With the weight w of a source, as a share of all weights, its block
+j has the release time floor(j / w) and the deadline ceil((j + 1) / w), in slots; both are computed exactly, in decimal arithmetic over
+whole-number weights, and for as many slots as there are: there is no period and nothing is rounded to one. In each slot, of the
+sources whose next block is released, the one with the earliest deadline is served, ties going to the smaller name. That is a Pfair
+schedule: as long as no source has run out, after every slot each source is less than one block away from its share. When a source has no more
+rows its slots go to waste, and the others keep theirs.
+
+The schedule depends on the numbers of rows by source alone. It's made by a fold inside one expression, a step a block, in segments of SEGMENT
+blocks, each a written table, so that memory stays bounded; the fold is sequential, and its time is that of blocks times sources, whence
+the size of blocks is a parameter. Numbering rows within a source would put a hot source into one task; instead rows are sorted by range over source
+and doc_id, and each range counts on from the ones before it.
+
+Weights that are not given are the square roots of the sources' numbers of rows. A source that is given no weight, or 0, gets no slots: its
+rows are kept, with null slot and position. A null source is a source of its own, named last. Null doc_ids come
 first; ties and repeated rows are ordered among themselves by their other columns, and are all kept. Any columns are kept.
 """
 
 from __future__ import annotations
 
-import heapq
+from fractions import Fraction
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common as c
 
 BLOCK = 16
-PERIOD = 1000
-LONGER = 100
+SEGMENT = 1 << 18
+STEPS = 1 << 10
+NEVER = 2**63 - 1
 
 
-def quotas(counts: DataFrame, weights: dict[str | None, float] | None, period: int) -> DataFrame:
-    """counts (none, name, rows), one row a source: quota and number (from 0, by name) of each, and what the floor of 1 took from the rest."""
+def weighted(counts: DataFrame, weights: dict[str | None, float] | None, block: int) -> DataFrame:
+    """counts (none, name, rows), one row a source: its whole-number weight w, its blocks and its number, from 0 by name."""
     if weights is None:
         w = F.floor(F.sqrt(F.col("rows").cast("double")) * 1000000)
     else:
-        given = F.create_map(*[F.lit(x) for k, v in weights.items() if k is not None for x in (k, float(v))]) if set(weights) - {None} else F.create_map().cast("map<string,double>")
-        w = F.floor(F.when(F.col("none"), F.lit(float(weights.get(None, 0)))).otherwise(F.coalesce(F.try_element_at(given, F.col("name")), F.lit(0.0))) * 1000000)
-    everything = Window.partitionBy(F.lit(0))
-    x = counts.withColumn("w", w.cast("long")).withColumn("all", F.sum("w").over(everything))
-    x = x.withColumn("base", F.greatest(F.lit(1), F.expr(f"(cast(w AS decimal(20, 0)) * {period}) div all"))).withColumn("left", F.expr(f"(cast(w AS decimal(20, 0)) * {period}) % all"))
-    x = x.withColumn("rest", F.lit(period) - F.sum("base").over(everything)).withColumn("above", F.sum(F.col("base") - 1).over(everything))
-    over = "cast(greatest(-rest, 0) AS decimal(20, 0)) * (base - 1)"
-    x = x.withColumn("took", F.expr(f"({over}) div greatest(above, 1)")).withColumn("taken", F.expr(f"({over}) % greatest(above, 1)"))
-    x = x.withColumn("more", F.greatest(-F.col("rest"), F.lit(0)) - F.sum("took").over(everything))
-    x = x.withColumn("by_left", F.row_number().over(everything.orderBy(F.desc("left"), "none", "name"))).withColumn("by_taken", F.row_number().over(everything.orderBy(F.desc("taken"), "none", "name")))
-    q = F.col("base") - F.col("took") + F.when(F.col("by_left") <= F.col("rest"), 1).when(F.col("by_taken") <= F.col("more"), -1).otherwise(0)
-    return x.select("none", "name", q.cast("int").alias("quota"), (F.row_number().over(everything.orderBy("none", "name")) - 1).alias("number"), F.greatest(-F.col("rest"), F.lit(0)).alias("floors"))
-
-
-def schedule(quota: DataFrame, period: int) -> DataFrame:
-    """(number, turn, slot): the slot in a period of each source's blocks 0 to quota - 1."""
-    q = quota.groupBy().agg(F.expr("transform(array_sort(collect_list(struct(number, quota))), x -> cast(x.quota AS bigint)) AS q"))
-    earliest = f"array_min(transform(a.served, (x, i) -> IF(x < q[i] AND (x * {period}) div q[i] <= t, struct(((x + 1) * {period} + q[i] - 1) div q[i] AS deadline, i AS number), NULL))).number"
-    # the pick is computed once a slot, and kept in the state for the two fields that need it
-    step = f"transform(array({earliest}), p -> struct(transform(a.served, (x, i) -> IF(i = p, x + 1, x)) AS served, concat(a.picks, array(p)) AS picks))[0]"
-    start = "struct(transform(q, x -> 0L) AS served, cast(array() AS array<int>) AS picks)"
-    picks = q.select(F.posexplode(F.expr(f"aggregate(sequence(0L, {period - 1}L), {start}, (a, t) -> {step}).picks")).alias("slot", "number"))
-    return picks.select("number", (F.row_number().over(Window.partitionBy("number").orderBy("slot")) - 1).alias("turn"), "slot")
-
-
-def long_schedule(quota: DataFrame, period: int) -> DataFrame:
-    """What schedule() returns, in time that grows with the period and not with the sources too."""
-    q = quota.select("number", "quota").toArrow().sort_by("number")["quota"].to_pylist()
-    number, turn, slot = (np.empty(period, np.int64) for _ in range(3))
-    waiting, ready, n = [(0, i, 0) for i in range(len(q))], [], 0
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // q[i]), i, k))
-        if ready:
-            _, i, k = heapq.heappop(ready)
-            number[n], turn[n], slot[n], n = i, k, t, n + 1
-            if k + 1 < q[i]:
-                heapq.heappush(waiting, ((k + 1) * period // q[i], i, k + 1))
-    rows = pa.table({"number": pa.array(number[:n].astype(np.int32)), "turn": pa.array(turn[:n].astype(np.int32)), "slot": pa.array(slot[:n])})
-    return quota.sparkSession.createDataFrame(rows)
+        most = max((float(v) for v in weights.values()), default=0.0) or 1.0
+        whole = {k: round(float(v) / most * 10**9) or (1 if v else 0) for k, v in weights.items()}
+        given = F.create_map(*[F.lit(x) for k, v in whole.items() if k is not None for x in (k, v)]) if set(whole) - {None} else F.create_map().cast("map<string,int>")
+        w = F.when(F.col("none"), F.lit(whole.get(None, 0))).otherwise(F.coalesce(F.try_element_at(given, F.col("name")), F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("none", "name")) - 1
+    return counts.select("none", "name", w.cast("long").alias("w"), F.ceil(F.col("rows") / block).cast("long").alias("blocks"), number.alias("number"))
+
+
+def schedule(sources: DataFrame, tables: c.Tables) -> DataFrame:
+    """(number, block, slot): the slot of each block of the sources (number, w, blocks), in the order of earliest deadline first."""
+    served = sources.where("w > 0")
+    total, blocks = served.agg(F.sum(F.col("w").cast("decimal(20,0)")), F.sum("blocks")).first()
+    release = f"IF(j >= s[i].blocks, {NEVER}L, (cast(j AS decimal(20, 0)) * {total or 1}BD) div s[i].w)"
+    deadline = f"(cast(j + 1 AS decimal(20, 0)) * {total or 1}BD + s[i].w - 1) div s[i].w"
+    at = lambda e, j, i: e.replace("j ", f"{j} ").replace("s[i]", f"s[{i}]")
+    # the slot t and the pick p of a step are each computed once
+    pick = "array_min(transform(a.due, (d, i) -> IF(a.free[i] <= t, struct(d AS d, i AS i), NULL))).i"
+    now = f"transform(a.done, (x, i) -> IF(i = p, x + 1L, x)) AS done, transform(a.free, (x, i) -> IF(i = p, {at(release, '(a.done[p] + 1L)', 'p')}, x)) AS free"
+    now += f", transform(a.due, (x, i) -> IF(i = p, {at(deadline, '(a.done[p] + 1L)', 'p')}, x)) AS due"
+    step = f"transform(array({pick}), p -> struct(t AS t, {now}, concat(a.picks, array(struct(p AS number, a.done[p] AS block, t AS slot))) AS picks))[0]"
+    step = f"IF(array_min(a.free) = {NEVER}L, a, transform(array(greatest(a.t + 1L, array_min(a.free))), t -> {step})[0])"
+    nothing = "cast(array() AS array<struct<number: int, block: bigint, slot: bigint>>)"
+    inner = f"aggregate(sequence(1, {STEPS}), struct(o.t AS t, o.done AS done, o.free AS free, o.due AS due, {nothing} AS picks), (a, x) -> {step})"
+    outer = f"transform(array({inner}), n -> struct(n.t AS t, n.done AS done, n.free AS free, n.due AS due, concat(o.parts, array(n.picks)) AS parts))[0]"
+    empty = "cast(array() AS array<array<struct<number: int, block: bigint, slot: bigint>>>)"
+    fold = f"aggregate(sequence(1, {{n}}), struct(z.t AS t, z.done AS done, z.free AS free, z.due AS due, {empty} AS parts), (o, y) -> {outer})"
+
+    listed = served.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("number").alias("at"), F.col("w").cast("decimal(20,0)").alias("w"), "blocks"))).alias("s"))
+    first = f"struct(-1L AS t, transform(s, x -> 0L) AS done, transform(s, x -> 0L) AS free, transform(s, x -> ({total or 1}BD + x.w - 1) div x.w) AS due) AS z"
+    state, parts = listed.selectExpr("s", first), []
+    for _ in range(max(1, -(-(blocks or 0) // SEGMENT))):
+        folded = tables.cut(state.selectExpr("s", fold.format(n=-(-min(SEGMENT, blocks or 1) // STEPS)) + " AS z"))
+        parts.append(folded.select("s", F.explode(F.flatten("z.parts")).alias("x")).select(F.expr("s[x.number].at").alias("number"), "x.block", "x.slot"))
+        state = folded.selectExpr("s", "struct(z.t, z.done, z.free, z.due) AS z")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block: int = BLOCK, period: int = PERIOD, out: str = "_mix") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block: int = BLOCK, out: str | None = None) -> DataFrame:
     """All rows and columns of docs, with a struct column: block (number within the source), slot, position (the place in the mixture,
-    unique; with gaps where a source has run out)."""
+    unique; with gaps where a source has run out). Unless given, its name is _mix, with underscores before it while that is taken."""
+    out = out or c.free_name(docs, "_mix")
     t = c.Tables(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("r"))
-    rows = rows.select("r", F.col("r.source").isNull().alias("none"), F.coalesce(F.col("r.source").cast("string"), F.lit("")).alias("name"), F.col("r.doc_id").alias("id"))
+    rows = c.packed(docs)
+    source, doc_id = (F.col(f"r.c{[n.lower() for n in docs.columns].index(n)}") for n in ("source", "doc_id"))
+    rows = rows.select("r", source.isNull().alias("none"), F.coalesce(source.cast("string"), F.lit("")).alias("name"), doc_id.alias("id"))
     order = ["none", "name", F.col("id").asc_nulls_first(), F.hash("r")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = t.cut(ranged.select("r", "none", "name", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    per = ranged.groupBy("none", "name", "part").agg(F.count("*").alias("n"), F.min("at").alias("least"))
-    per = t.cut(per)
+    per = t.cut(ranged.groupBy("none", "name", "part").agg(F.count("*").alias("n"), F.min("at").alias("least")))
+    sources = t.cut(weighted(per.groupBy("none", "name").agg(F.sum("n").alias("rows")), weights, block))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("none", "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts, short = per.groupBy("none", "name").agg(F.sum("n").alias("rows")), period
-    quota = t.cut(quotas(counts, weights, period))
-    sources, floors = quota.agg(F.count("*"), F.max("floors")).first()
-    if sources > short // 2 or floors:
-        period = short * max(LONGER, -(-10 * sources // short))
-        quota = t.cut(quotas(counts, weights, period), drop=(quota,))
-    few = F.broadcast if period <= LONGER * max(short, PERIOD) else lambda df: df
-    ranges = per.withColumn("shift", before - F.col("least")).join(quota, ["none", "name"]).select("part", "none", "name", "shift", "quota", "number")
-    numbered = ranged.join(few(ranges), ["part", "none", "name"]).withColumn("k", F.col("at") + F.col("shift"))
-    numbered = numbered.withColumn("block", F.expr(f"k div {block}")).withColumn("turn", F.expr("cast(block % quota AS int)"))
-    slots = t.cut((schedule if period == short else long_schedule)(quota, period)) if sources else schedule(quota, period)
-    placed = numbered.join(few(slots), ["number", "turn"])
-    slot = F.expr(f"(block div quota) * {period} + slot")
-    info = F.struct(F.col("block"), slot.alias("slot"), (slot * block + F.expr(f"k % {block}")).alias("position"))
-    return placed.select("r", info.alias("x")).select("r.*", F.col("x").alias(out))
+    ranges = per.withColumn("shift", before - F.col("least")).join(sources, ["none", "name"]).select("part", "none", "name", "shift", "number")
+    # a range has one row here for each source in it: ranges and sources together bound them, and sources bound the fold
+    numbered = ranged.join(F.broadcast(ranges), ["part", "none", "name"]).withColumn("k", F.col("at") + F.col("shift"))
+    numbered = numbered.withColumn("block", F.expr(f"k div {block}"))
+    placed = numbered.join(schedule(sources, t).hint("merge"), ["number", "block"], "left")
+    info: Column = F.struct("block", "slot", (F.col("slot") * block + F.expr(f"k % {block}")).alias("position"))
+    return c.unpacked(placed.select("r", info.alias(out)), docs, out)
 
 
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, source, block, slot, position, a row per document."""
-    return mix(docs.select("doc_id", "source")).select("doc_id", "source", "_mix.block", "_mix.slot", "_mix.position")
+    return mix(docs.select("doc_id", "source"), out="_mix").select("doc_id", "source", "_mix.block", "_mix.slot", "_mix.position")
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -122,41 +110,36 @@ def places(docs: DataFrame) -> DataFrame:
     names, prefix = {n.lower() for n in docs.columns}, "mix_"
     while names & {prefix + n for n in ("block", "slot", "position")}:
         prefix = "_" + prefix
-    out = prefix + "place"
-    while out in names:
-        out = "_" + out
+    out = c.free_name(docs, "mix_place")
     return mix(docs, out=out).select(*[f"`{n}`" for n in docs.columns], *[F.col(f"{out}.{n}").alias(prefix + n) for n in ("block", "slot", "position")])
 
 
-def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs in the order of the mixture."""
-    return mix(docs).orderBy("_mix.position").select(*docs.columns)
-
-
-def brute(quota: list[int], slots: int) -> list[int]:
-    """Which source each slot serves, by earliest deadline first, slot by slot."""
-    period, served, out = sum(quota), [0] * len(quota), []
-    for t in range(slots):
-        ready = [(-(-(n + 1) * period // q), i) for i, (n, q) in enumerate(zip(served, quota, strict=True)) if n * period // q <= t]
-        out.append(min(ready)[1])
-        served[out[-1]] += 1
+def brute(weights: list[int], blocks: list[int]) -> list[tuple[int, int]]:
+    """(slot, source) of all blocks, by earliest deadline first, slot by slot."""
+    total, served, out, t = sum(weights), [0] * len(weights), [], 0
+    while any(n < b and w for n, b, w in zip(served, blocks, weights, strict=True)):
+        ready = [(-(-Fraction((n + 1) * total, w) // 1), i) for i, (n, w, b) in enumerate(zip(served, weights, blocks, strict=True)) if w and n < b and n * total // w <= t]
+        if ready:
+            i = min(ready)[1]
+            out.append((t, i))
+            served[i] += 1
+        t += 1
     return out
 
 
 SQL = r"""
 WITH RECURSIVE n AS (SELECT source IS NULL AS none, coalesce(source, '') AS name, count(*) AS n FROM documents GROUP BY 1, 2),
-w AS (SELECT *, CAST(floor(sqrt(CAST(n AS DOUBLE)) * 1000000) AS BIGINT) AS w FROM n),
-f AS (SELECT *, greatest(1, (w * 1000) // (SELECT CAST(sum(w) AS BIGINT) FROM w)) AS base, (w * 1000) % (SELECT CAST(sum(w) AS BIGINT) FROM w) AS rem FROM w),
-g AS (SELECT *, 1000 - (SELECT CAST(sum(base) AS BIGINT) FROM f) AS rest, row_number() OVER (ORDER BY rem DESC, none, name) AS r1, row_number() OVER (ORDER BY base DESC, none, name) AS r2 FROM f),
-q AS (SELECT none, name, base + CASE WHEN r1 <= rest THEN 1 WHEN rest < 0 AND r2 = 1 THEN rest ELSE 0 END AS quota, row_number() OVER (ORDER BY none, name) AS num FROM g),
-ql AS (SELECT list(quota ORDER BY num) AS q FROM q),
-edf AS (SELECT 0 AS t, list_transform(q, lambda x: CAST(0 AS BIGINT)) AS served, CAST(NULL AS BIGINT) AS pick, q FROM ql
+q AS (SELECT none, name, CAST(floor(sqrt(CAST(n AS DOUBLE)) * 1000000) AS HUGEINT) AS w, CAST((n + 15) // 16 AS HUGEINT) AS b, row_number() OVER (ORDER BY none, name) AS num FROM n),
+ql AS (SELECT list(w ORDER BY num) AS w, list(b ORDER BY num) AS b, CAST(sum(w) AS HUGEINT) AS total, CAST(sum(b) AS BIGINT) AS blocks FROM q),
+edf AS (SELECT 0 AS k, CAST(-1 AS HUGEINT) AS t, list_transform(w, lambda x: CAST(0 AS HUGEINT)) AS served, CAST(NULL AS BIGINT) AS pick, w, b, total, blocks FROM ql
         UNION ALL
-        SELECT t + 1, list_transform(served, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, q
-        FROM (SELECT t, served, q, CAST(list_min(list_transform(served, lambda x, i: CASE WHEN x < q[i] AND (x * 1000) // q[i] <= t THEN (((x + 1) * 1000 + q[i] - 1) // q[i]) * 1000 + i END)) % 1000 AS BIGINT) AS p FROM edf WHERE t < 1000)),
-slots AS (SELECT pick AS num, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM edf WHERE pick IS NOT NULL),
-d AS (SELECT doc_id, source, quota, num, row_number() OVER (PARTITION BY q.num ORDER BY doc_id) - 1 AS k FROM documents JOIN q ON (source IS NULL) = none AND coalesce(source, '') = name)
-SELECT doc_id, source, CAST(k // 16 AS BIGINT) AS block, CAST(((k // 16) // quota) * 1000 + slot AS BIGINT) AS slot,
-       CAST((((k // 16) // quota) * 1000 + slot) * 16 + k % 16 AS BIGINT) AS position
-FROM d JOIN slots ON slots.num = d.num AND slots.turn = (k // 16) % quota
+        SELECT k + 1, t, list_transform(served, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p, w, b, total, blocks
+        FROM (SELECT k, t, served, w, b, total, blocks,
+                     list_min(list_transform(served, lambda x, i: CASE WHEN x < b[i] AND (x * total) // w[i] <= t THEN {'d': ((x + 1) * total + w[i] - 1) // w[i], 'i': i} END))['i'] AS p
+              FROM (SELECT k, served, w, b, total, blocks, greatest(t + 1, list_min(list_transform(served, lambda x, i: CASE WHEN x < b[i] THEN (x * total) // w[i] END))) AS t
+                    FROM edf WHERE k < blocks))),
+slots AS (SELECT pick AS num, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY k) - 1 AS block FROM edf WHERE pick IS NOT NULL),
+d AS (SELECT doc_id, source, num, row_number() OVER (PARTITION BY q.num ORDER BY doc_id) - 1 AS k FROM documents JOIN q ON (source IS NULL) = none AND coalesce(source, '') = name)
+SELECT doc_id, source, CAST(k // 16 AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot, CAST(slot * 16 + k % 16 AS BIGINT) AS position
+FROM d JOIN slots ON slots.num = d.num AND slots.block = k // 16
 """
