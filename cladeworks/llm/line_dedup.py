@@ -3,11 +3,12 @@
 A run of consecutive lines with at least min_words words that also occurs earlier, in the order of doc_id and line, is deleted;
 a line goes if it lies in any such run. Lines without words count for nothing and go with the line above them.
 
-How it works. A line's id is a 64-bit hash of its bytes. Round r of prefix doubling sorts the distinct pairs (bucket of the first
-2^r lines, bucket of the next 2^r) over all executors and numbers them in order: the suffix array's buckets after 2^(r+1) lines.
-Suffixes share an interval of longest common prefix m or more when they share the buckets of the two overlapping halves of m
-lines, so intervals are found by grouping, and a hot interval is summed up map-side instead of scanned by one task.
-In each interval the first suffix in document order is the original and the others are later copies.
+How it works. A line's id is a 64-bit hash of its bytes; lines are compared by it. Round r of prefix doubling sorts the distinct pairs (bucket
+of the first 2^r lines, bucket of the next 2^r) over all executors and numbers them in order: the suffix array's buckets after 2^(r+1)
+lines. Sorted by the last of them, over ranges of suffixes, neighbours' longest common prefixes (LCP) are counted along each range, and across
+its ends. The suffixes between two LCPs below m are an LCP interval of depth m: the places of one run of m lines. Intervals are
+numbered by the ends before them, in their range and in the ranges before it. In each interval the first suffix in document order is the
+original and the others are later copies; a hot interval is summed up map-side, and its copies are dealt over all tasks.
 Which depths m are needed: a repeated run is the union of those of its windows that have min_words words but would have fewer without
 their last line, or without their first; every such window occurs earlier too. So the array is sorted only as deep as the longest
 such window, and only over documents that hold a window of the first kind that is not unique.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import common as c
@@ -101,10 +103,10 @@ def _ranked(pairs: DataFrame, tables: c.Tables) -> DataFrame:
 
 def suffix_array(lines: DataFrame, depth: int, tables: c.Tables) -> DataFrame:
     """lines (d, t, line, words, id): adds r0, r1, ... : the buckets of each suffix in the array sorted by its first 1, 2, 4, ... lines,
-    at least as far as half of depth. Orders of lines are those of their ids; the end of a document comes first."""
+    until they reach depth. Orders of lines are those of their ids; the end of a document comes first."""
     names, level = ["r0"], 0
     now = lines.withColumnRenamed("id", "r0")
-    while (2 << level) <= depth:
+    while (1 << level) < depth:
         after = F.lead(names[-1], 1 << level).over(Window.partitionBy("d", "t").orderBy("line"))
         rows = tables.cut(now.withColumn("a", F.col(names[-1])).withColumn("b", F.coalesce(after, F.lit(_FIRST))))
         ranks = _ranked(rows.select("a", "b"), tables)
@@ -133,38 +135,104 @@ def deletions(docs: DataFrame, least: int, tables: c.Tables) -> DataFrame:
     depth = some.select("words").mapInArrow(deepest, "m long").agg(F.max("m")).first()[0] or 0
     lines = some.select("d", "t", F.posexplode(F.arrays_zip("ids", "words")).alias("line", "x")).select("d", "t", "line", F.col("x.words").alias("words"), F.col("x.ids").alias("id"))
     array = suffix_array(lines, depth, tables)
-    names = [x for x in array.columns if x[0] == "r"]
+    last = array.columns[-1]
 
-    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The suffixes that begin a window: their bucket, place, shortest and longest window, and line ids as far as the latter."""
         for batch in batches:
             out: list[list[np.ndarray]] = []
-            d_all, t_all = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (d, t) in enumerate(zip(d_all, t_all, strict=True)):
+            for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 x = batch.column(2)[i].values
-                line = x.field("line").to_numpy()
-                by = np.argsort(line)
+                by = np.argsort(x.field("line").to_numpy())
                 b, m = windows(x.field("words").to_numpy()[by], least)
-                ranks = np.stack([x.field(n).to_numpy()[by] for n in names])
-                level = np.floor(np.log2(m)).astype(np.int64)
-                out.append([np.full(len(b), d), np.full(len(b), t), b, m, ranks[level, b], ranks[level, b + m - (1 << level)]])
+                lead = np.flatnonzero(np.concatenate((np.ones(min(1, len(b)), bool), b[1:] != b[:-1])))
+                at, lo = b[lead], m[lead]
+                hi = m[np.append(lead[1:], len(m)) - 1]
+                pick = np.repeat(at - (np.cumsum(hi) - hi), hi) + np.arange(hi.sum())
+                out.append([x.field("rank").to_numpy()[by][at], np.full(len(at), d), np.full(len(at), t), at, lo, hi, x.field("id").to_numpy()[by][pick]])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in zip(*out, strict=True)], ["d", "t", "b", "m", "x", "y"])
+                *cols, ids = (np.concatenate(z).astype(np.int64) for z in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), c.list_array(ids, cols[5])], ["rank", "d", "t", "b", "lo", "hi", "ids"])
 
-    whole = array.groupBy("d", "t").agg(F.collect_list(F.struct("line", "words", *names)).alias("rows"))
-    found = tables.cut(whole.mapInArrow(intervals, "d long, t long, b long, m long, x long, y long"), drop=(array, some))
-    first = found.groupBy("m", "x", "y").agg(F.min(F.struct("d", "t", "b")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first, ["m", "x", "y"]).where("d <> f.d OR t <> f.t OR b <> f.b")
-    return tables.cut(later.groupBy("d", "t").agg(F.collect_list(F.struct("b", "m")).alias("runs")), drop=(found,))
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a sorted range to a row for each window: how many LCPs below m come before it in the range. As its last row, with no d, the
+        range's first and last ids, and how many LCPs below each m up to depth it has in all."""
+        part, ends, before = TaskContext.get().partitionId(), [None, None], np.zeros(depth + 1, np.int64)
+        deep = np.arange(depth + 1)
+        null = lambda n, kind: pa.nulls(n, kind)
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, t, b, lo, hi = (batch.column(i).to_numpy() for i in range(1, 6))
+            ids, size = batch.column(6).flatten().to_numpy(), hi
+            start = np.cumsum(size) - size
+            old = ends[1] if ends[1] is not None else np.zeros(0, np.int64)
+            ids, start, size = np.concatenate((old, ids)), np.append(0, start + len(old)), np.append(len(old), size)
+            lcp = _lcp(ids, start, size, depth)
+            small = lcp[:, None] < deep  # of each row with the one before it
+            if ends[1] is None:
+                ends[0], small[0] = batch.column(6)[0].values.to_numpy(), False
+            run = before + np.cumsum(small, axis=0)
+            before, ends[1] = run[-1], batch.column(6)[batch.num_rows - 1].values.to_numpy()
+            n = hi - lo + 1
+            row = np.repeat(np.arange(len(n)), n)
+            m = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part)), *(pa.array(x[row]) for x in (d, t, b)), pa.array(m), pa.array(run[row, m]), null(len(row), longs), null(len(row), longs), null(len(row), longs)], FOUND_NAMES)
+        if ends[0] is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(null(1, pa.int64()) for _ in range(5)), *(pa.array([list(map(int, x))], longs) for x in (*ends, before))], FOUND_NAMES)
+
+    whole = array.groupBy("d", "t").agg(F.collect_list(F.struct("line", "words", F.col("r0").alias("id"), F.col(last).alias("rank"))).alias("rows"))
+    order = ["rank", "d", "t", "b"]
+    placed = whole.mapInArrow(suffixes, "rank long, d long, t long, b long, lo long, hi long, ids array<long>").repartitionByRange(*order).sortWithinPartitions(*order)
+    found = tables.cut(placed.mapInArrow(intervals, FOUND), drop=(array, some))
+    # one row a range: its ends and totals; what they add to the numbers of the ranges after it is broadcast, depth + 1 numbers a range
+    shift, rows, end = np.zeros(depth + 1, np.int64), [], None
+    for r in found.where("d IS NULL").select("part", "first", "last", "totals").orderBy("part").collect():
+        if end is not None:
+            ids = np.array(end + r["first"], np.int64)
+            lcp = _lcp(ids, np.array([0, len(end)]), np.array([len(end), len(r["first"])]), depth)[0]
+            shift = shift + (lcp < np.arange(depth + 1))
+        rows.append((r.part, shift.tolist()))
+        shift, end = shift + np.array(r.totals), r["last"]
+    shifts = F.broadcast(docs.sparkSession.createDataFrame(rows, "part long, shift array<long>"))
+    numbered = found.where("d IS NOT NULL").join(shifts, "part").select("d", "t", "b", "m", (F.col("n") + F.element_at("shift", F.col("m").cast("int") + 1)).alias("x"))
+    firsts = numbered.groupBy("m", "x").agg(F.min(F.struct("d", "t", "b")).alias("f"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = tables.cut(firsts)
+    met = c.split_join(numbered, firsts, ["m", "x"], "copies", numbered.count())
+    later = met.where("f IS NOT NULL AND (d <> f.d OR t <> f.t OR b <> f.b)")
+    runs = later.groupBy("d", "t").agg(F.collect_list(F.struct("b", "m")).alias("runs"))
+    return tables.cut(runs, drop=(found, firsts))
+
+
+FOUND = "part long, d long, t long, b long, m long, n long, first array<long>, last array<long>, totals array<long>"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _lcp(ids: np.ndarray, start: np.ndarray, size: np.ndarray, depth: int) -> np.ndarray:
+    """The longest common prefix of each list but the first with the one before it. Lists are given by starts and sizes in ids."""
+    out = np.zeros(len(start) - 1, np.int64)
+    live = np.arange(len(out))
+    for j in range(depth):
+        live = live[(size[live] > j) & (size[live + 1] > j)]
+        live = live[ids[start[live] + j] == ids[start[live + 1] + j]]
+        if not len(live):
+            break
+        out[live] += 1
+    return out
 
 
-def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, out: str = "_lines") -> DataFrame:
+def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, out: str | None = None) -> DataFrame:
     """All rows and columns of docs, text without later copies of runs, and a struct column: n_lines, n_words, n_deleted (lines before
-    it, their words, and those that went). Null texts stay null."""
+    it, their words, and those that went). Unless given, its name is _lines, with underscores before it while that is taken. Null texts stay null."""
+    out = out or c.free_name(docs, "_lines")
     spark = docs.sparkSession
     t = c.Tables(spark)
     gone = deletions(docs.select("doc_id", "text"), min_words, t)
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
-    at = docs.columns.index("text")
+    names = [n.lower() for n in docs.columns]
+    at, key = names.index("text"), names.index("doc_id")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    fields = [T.StructField(f.name, f.dataType) for f in plain.schema]
     info = T.StructType([T.StructField(n, T.LongType()) for n in ("n_lines", "n_words", "n_deleted")])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +257,13 @@ def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS, out: str = "_lines") -
                 what = pa.StructArray.from_arrays([pa.array(x) for x in counts], ["n_lines", "n_words", "n_deleted"])
                 yield pa.RecordBatch.from_arrays([*cols, what], [*(f.name for f in fields), "x"])
 
-    plain = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)])
-    key = docs.columns.index("doc_id")
-    left = plain.withColumns({"d": F.coalesce(F.col(f"c{key}").cast("long"), F.lit(_FIRST)), "t": F.xxhash64(f"c{at}")})
-    joined = left.join(gone.hint("shuffle_hash"), ["d", "t"], "left").select(*plain.columns, "runs")
-    return joined.mapInArrow(apply, T.StructType([*fields, T.StructField("x", info)])).toDF(*docs.columns, out)
+    # only rows that may lose lines are shuffled
+    left = c.maybe(plain.withColumns({"d": F.coalesce(F.col(f"c{key}").cast("long"), F.lit(_FIRST)), "t": F.xxhash64(f"c{at}")}), gone, ["d", "t"])
+    copies = left.where("may").groupBy("d", "t").agg(F.count("*").alias("copies"))
+    ends = t.cut(gone.join(copies.hint("merge"), ["d", "t"]))
+    met = c.split_join(left.where("may").drop("may"), ends, ["d", "t"], "copies", ends.agg(F.sum("copies")).first()[0] or 0).select(*plain.columns, "runs")
+    stay = left.where("may IS NULL").select(*plain.columns, F.lit(None).cast(met.schema["runs"].dataType).alias("runs"))
+    return stay.union(met).mapInArrow(apply, T.StructType([*fields, T.StructField("x", info)])).toDF(*docs.columns, out)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -204,11 +274,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of docs with shortened texts, and n_chars of those; a document that had words and has none left goes."""
-    found = dedup(docs)
+    out = c.free_name(docs, "_lines")
+    found = dedup(docs, out=out)
+    lost = F.col(f"{out}.n_deleted")
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("_lines.n_deleted") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    gone = (F.col("_lines.n_deleted") > 0) & (F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r ]+", "")) == "")
-    return found.where(~F.coalesce(gone, F.lit(False))).select(*docs.columns)
+        found = found.withColumn("n_chars", F.when(lost > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    gone = (lost > 0) & (F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r ]+", "")) == "")
+    return found.where(~F.coalesce(gone, F.lit(False))).select(*[f"`{n}`" for n in docs.columns])
 
 
 def brute(texts: list[tuple[int, str | None]], least: int) -> list[str | None]:
