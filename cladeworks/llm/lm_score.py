@@ -1,17 +1,17 @@
 """LM scoring by cross-entropy difference (target minus background; lower: more like the target).
 
 Two word-bigram models over one vocabulary, with the same smoothing: the background is counted over all documents, the target over those
-that labels mark with quality 1. Every word and every bigram has its own exact count, so both tables grow with the corpus; they are
-written, and joined with the bigrams of the documents, never broadcast. Bigrams are handled in ROUNDS parts by their hash, at every size,
-so that only one part of them is on disk at a time. A round writes the counts of bigrams in each document, sums them to the models'
-losses, a row a bigram, and joins the two; a bigram that is in many documents is dealt by document, as its side of the join can be split.
+that labels mark with quality 1. Every word and every bigram has its own exact count, so the models grow with the corpus. They are a written
+table: a row a bigram, with its loss under both.
 
-With words or bigrams given, two models bounded by relative frequency are broadcast instead: a word is in the vocabulary if at least one in
-`words` running words is it, and other words are one unknown word; a bigram has its own count if it is one in `bigrams` of either
-corpus, and others have count 0 in both models. The query doesn't use them.
+P(w | h) = (c(h, w) + K * P(w)) / (c(h) + K), P(w) = (c(w) + 1) / (N + V), over tokens and vocabulary, V counting one unknown
+word too. h starts as a mark. For each h the probabilities add up to 1. Words stand as 64-bit hashes. The target documents are scored like
+all others, by models that count them.
 
-P(w | h) = (c(h, w) + K * P(w)) / (c(h) + K), P(w) = (c(w) + 1) / (N + V), over tokens and vocabulary, V counting the unknown
-word too. h starts as a mark. Words stand as 64-bit hashes.
+Scoring. The bigrams that are at least one in HEAD of the running bigrams of either corpus, of which there can be 2 HEAD at most, are broadcast,
+and what they add to a document's losses is summed on the spot. All others of a document go, counted within it, to meet their row of the
+table in a shuffle, in as many rounds as keep what is shuffled at once below the bytes of the texts. The result doesn't depend on
+HEAD or on the rounds. Bigrams in many documents are in the broadcast, so none of the others is hot.
 
 Words are runs of anything but ASCII white space, lower-cased over A-Z. Null or empty texts have no tokens and score 0. Labels that are
 null or have no document are ignored, repeated ones count once; rows that repeat a doc_id are counted and scored one by one.
@@ -20,6 +20,7 @@ null or have no document are ignored, repeated ones count once; rows that repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
 
-VOCABULARY = 50_000
-BIGRAMS = 500_000
+HEAD = 500_000
 K = 50.0
 MERGE = 1 << 21
-ROUNDS = 8
 MARK = np.uint64(0x1B873593CC9E2D51)
 
 
 class Sums:
-    """Sums of columns by a key, merged by sorting whenever MERGE rows have gathered."""
+    """Sums of columns by a key, but for the first ones, which go with the key; merged by sorting whenever MERGE rows have gathered."""
 
-    def __init__(self) -> None:
+    def __init__(self, fixed: int) -> None:
+        self.fixed = fixed
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.rows = 0
 
@@ -55,7 +55,7 @@ class Sums:
         by = np.argsort(keys, kind="stable")
         keys = keys[by]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        self.parts = [(keys[at], *(np.add.reduceat(x[by], at) if len(at) else x for x in columns))]
+        self.parts = [(keys[at], *(x[by][at] if i < self.fixed or not len(at) else np.add.reduceat(x[by], at) for i, x in enumerate(columns)))]
         self.rows = 0  # of those added since
         return self.parts[0]
 
@@ -68,220 +68,122 @@ def _words(chunk: c.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return c.span_hashes(chunk.buf, starts, ends, True), first
 
 
-def vocabulary(docs: DataFrame, tables: c.Tables, most: int) -> np.ndarray:
-    """Hashes of the words that are at least one in `most` of all running words, sorted."""
+def _bigrams(chunk: c.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's word before it (MARK at the start of a text), the word, the key of both, and the first tokens of texts."""
+    w, first = _words(chunk)
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[first[:-1][np.diff(first) > 0]] = MARK
+    return h, w, c.mix(h * np.uint64(0x9E3779B97F4A7C15) + w), first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, out = Sums(), lambda p: pa.RecordBatch.from_arrays([pa.array(c.signed(p[0])), pa.array(p[1])], ["w", "n"])
-        for b in batches:
-            for chunk in c.chunks(b.column(0)):
-                sums.add(*np.unique(_words(chunk)[0], return_counts=True))
-                if sums.full():
-                    yield out(sums.merge())
-                    sums = Sums()
-        if (p := sums.merge()) is not None:
-            yield out(p)
 
-    counts = tables.cut(docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") * most >= total).select("w").toArrow()["w"].to_numpy()
-    tables.drop(counts)
-    return np.sort(rows.astype(np.int64).view(np.uint64))
-
-
-def _ids(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """1 and up for words of the vocabulary, 0 for others."""
-    if not len(vocab):
-        return np.zeros(len(h), np.int64)
-    at = np.searchsorted(vocab, h)
-    at[at == len(vocab)] = 0
-    return np.where(vocab[at] == h, at + 1, 0)
-
-
-def _bigrams(chunk: c.Chunk, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of each token and the one before it (len(vocab) + 1 at the start of a text), the key of both, and first tokens of texts."""
-    h, first = _words(chunk)
-    ids = _ids(h, vocab)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[first[:-1][np.diff(first) > 0]] = len(vocab) + 1
-    return ids, before, before * (len(vocab) + 1) + ids, first
-
-
-class Models:
-    """Loss differences and losses; built from vocab size, token counts (2, V + 1), history counts (2, V + 2) and counts of kept bigrams."""
-
-    def __init__(self, vocab: np.ndarray, words: np.ndarray, before: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        self.vocab = vocab
-        p = (words + 1) / (words.sum(1, keepdims=True) + words.shape[1])
-        self.word, self.back = np.log(K * p), np.log(before + K)
-        order = np.argsort(keys)
-        self.keys, counts = keys[order], counts[:, order]
-        h, w = np.divmod(self.keys, len(vocab) + 1)
-        self.pair = np.log(counts + K * p[:, w]) - self.back[:, h]
-
-    def losses(self, chunk: c.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of each text, and its total loss under target and background."""
-        ids, before, key, first = _bigrams(chunk, self.vocab)
-        loss = -(self.word[:, ids] - self.back[:, before])
-        if len(self.keys) and len(key):
-            by = np.argsort(key)
-            at = np.empty(len(key), np.int64)
-            at[by] = np.searchsorted(self.keys, key[by])
-            at[at == len(self.keys)] = 0
-            known = np.flatnonzero(self.keys[at] == key)
-            loss[:, known] = -self.pair[:, at[known]]
-        own = c.owner(first)
-        return np.diff(first), np.stack([np.bincount(own, x, chunk.n) for x in loss])
-
-
-def train(docs: DataFrame, labels: DataFrame, *, words: int = VOCABULARY, bigrams: int = BIGRAMS) -> Models:
-    tables = c.Tables(docs.sparkSession)
-    vocab = vocabulary(docs, tables, words)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("t")).distinct()
-    marked = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("t", F.lit(False)).alias("t"))
+def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, w, t, b: how often each bigram occurs in target and background."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    some = c.maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good, ["doc_id"]).where("may").drop("may")
+    target = some.join(good.hint("merge"), "doc_id", "left_semi").select("text", F.lit(True).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        out = lambda p: pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["k", "target", "background"])
+        sums = Sums(2)
+        out = lambda p: pa.RecordBatch.from_arrays([pa.array(c.signed(x)) if x.dtype == np.uint64 else pa.array(x) for x in p[1:]], ["h", "w", "t", "b"])
         for b in batches:
-            t = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for chunk in c.chunks(b.column(0)):
-                _, _, key, first = _bigrams(chunk, shared.value)
-                inside = np.repeat(t[chunk.first : chunk.first + chunk.n], np.diff(first))
-                keys, of, n = np.unique(key, return_inverse=True, return_counts=True)
-                sums.add(keys, np.bincount(of[inside], minlength=len(keys)), n)
+                h, w, key, first = _bigrams(chunk)
+                inside = np.repeat(target[chunk.first : chunk.first + chunk.n], np.diff(first))
+                keys, at, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                t = np.bincount(of[inside], minlength=len(keys))
+                sums.add(keys, h[at], w[at], t, n - t)
                 if sums.full():
                     yield out(sums.merge())
-                    sums = Sums()
+                    sums = Sums(2)
         if (p := sums.merge()) is not None:
             yield out(p)
 
-    counts = marked.mapInArrow(run, "k long, target long, background long").groupBy("k").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    counts = tables.cut(counts)
-    v = len(vocab) + 1
+    texts = docs.select("text", F.lit(False).alias("t")).union(target)
+    return texts.mapInArrow(run, "h long, w long, t long, b long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
-    def sums(key, n: int) -> np.ndarray:
-        rows, out = counts.groupBy(key.cast("long").alias("i")).agg(F.sum("target").alias("t"), F.sum("background").alias("b")).toArrow(), np.zeros((2, n))
-        out[:, rows["i"].to_numpy()] = np.stack([rows["t"].to_numpy(), rows["b"].to_numpy()])
-        return out
 
-    word, before = sums(F.col("k") % v, v), sums(F.expr(f"k div {v}"), v + 1)
-    total = word.sum(1).astype(int).tolist()
-    kept = counts.where((F.col("target") * bigrams >= max(1, total[0])) | (F.col("background") * bigrams >= max(1, total[1]))).toArrow()
-    tables.drop(counts)
-    return Models(vocab, word, before, kept["k"].to_numpy().astype(np.int64), np.stack([kept[n].to_numpy().astype(float) for n in ("target", "background")]))
+def models(found: DataFrame) -> DataFrame:
+    """found (h, w, t, b), with each bigram's losses under target and background, lt and lb, and whether it's in the head."""
+    nt, nb = (x or 0 for x in found.agg(F.sum("t"), F.sum("b")).first())
+    word = found.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb"))
+    v = word.where("wb > 0").count() + 1
+    before = found.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("b").alias("hb"))
+    p = lambda n, total: K * (F.col(n) + 1) / F.lit(float(total + v))
+    rows = found.join(word.hint("merge"), "w").join(before.hint("merge"), "h")
+    loss = lambda n, w, h, total: F.log(F.col(h) + K) - F.log(F.col(n) + p(w, total))
+    head = (F.col("t") * HEAD >= max(1, nt)) | (F.col("b") * HEAD >= max(1, nb))
+    return rows.select("h", "w", loss("t", "wt", "ht", nt).alias("lt"), loss("b", "wb", "hb", nb).alias("lb"), head.alias("head"))
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference, a row per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk in c.chunks(b.column(1)):
-                n, loss = shared.value.losses(chunk)
-                target, background = loss / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(chunk.first, chunk.n), *map(pa.array, (n, target, background, target - background))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+class Head:
+    """Losses of the bigrams in the head by their key."""
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    def __init__(self, rows: pa.Table):
+        h, w = (rows[n].to_numpy().view(np.uint64) for n in ("h", "w"))
+        key = c.mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+        by = np.argsort(key)
+        self.keys, self.losses = key[by], np.stack([rows[n].to_numpy()[by] for n in ("lt", "lb")])
 
-
-def _counted(texts: DataFrame, tables: c.Tables) -> DataFrame:
-    """Written counts of each word and the mark in target and background: w, wt, wb (as a word), ht, hb (before another word)."""
-    names = ["w", "wt", "wb", "ht", "hb"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        out = lambda p: pa.RecordBatch.from_arrays([pa.array(c.signed(p[0])), *map(pa.array, p[1:])], names)
-        for b in batches:
-            target = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            for chunk in c.chunks(b.column(1)):
-                h, first = _words(chunk)
-                n, t = np.diff(first), target[chunk.first : chunk.first + chunk.n]
-                keys, of = np.unique(h, return_inverse=True)
-                inside, filled = np.repeat(t, n), n > 0
-                count = lambda x, size=len(keys): np.bincount(x, minlength=size)
-                last = of[first[1:][filled] - 1]
-                words = [count(of[inside]), count(of[~inside])]
-                sums.add(keys, *words, words[0] - count(last[t[filled]]), words[1] - count(last[~t[filled]]))
-                sums.add(np.array([MARK]), *(np.array([x]) for x in (0, 0, (t & filled).sum(), (~t & filled).sum())))
-                if sums.full():
-                    yield out(sums.merge())
-                    sums = Sums()
-        if (p := sums.merge()) is not None:
-            yield out(p)
-
-    counts = texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-    return tables.cut(counts.groupBy("w").agg(*[F.sum(n).alias(n) for n in names[1:]]))
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1. Keys are looked up in order, which keeps memory access local."""
+        at = np.full(len(key), -1)
+        if len(self.keys) and len(key):
+            by = np.argsort(key)
+            place = np.searchsorted(self.keys, key[by])
+            place[place == len(self.keys)] = 0
+            at[by] = np.where(self.keys[place] == key[by], place, -1)
+        return at
 
 
-def _pairs(texts: DataFrame, part: int, parts: int) -> DataFrame:
-    """rid, h, w, n: the bigrams of one part, counted within each text."""
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference, a row per document."""
+    tables = c.Tables(docs.sparkSession)
+    found = tables.cut(counts(docs, labels))
+    known = tables.cut(models(found), drop=(found,))
+    head = docs.sparkSession.sparkContext.broadcast(Head(known.where("head").select("h", "w", "lt", "lb").toArrow()))
+    schema = "doc_id long, n long, t double, b double, size long, h array<long>, w array<long>, k array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk in c.chunks(b.column(1)):
-                w, first = _words(chunk)
-                if not len(w):
-                    continue
-                h = np.empty_like(w)
-                h[1:] = w[:-1]
-                h[first[:-1][np.diff(first) > 0]] = MARK
-                key = c.mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
-                at = np.flatnonzero(key % np.uint64(parts) == part)
-                own = c.owner(first)[at]
-                by = np.lexsort((key[at], own)) if len(at) else at
-                at, own = at[by], own[by]
-                new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (h[at[1:]] != h[at[:-1]]) | (w[at[1:]] != w[at[:-1]]))))[: len(at)]
-                n = np.diff(np.append(new, len(at)))
-                at, rid = at[new], b.column(0).slice(chunk.first, chunk.n).take(pa.array(own[new]))
-                yield pa.RecordBatch.from_arrays([rid, pa.array(c.signed(h[at])), pa.array(c.signed(w[at])), pa.array(n.astype(np.int32))], ["rid", "h", "w", "n"])
-
-    return texts.mapInArrow(run, "rid long, h long, w long, n int")
-
-
-def full(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """What score() returns, from models with the counts of all words and all bigrams."""
-    tables = c.Tables(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    target = tables.cut(docs.join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
-    # rows alike in doc_id and text share a rid: they have the same losses, and their tokens are divided by their number
-    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    texts = named.select("rid", "text").union(target.select(F.lit(None).cast("long").alias("rid"), "text"))
-    counts = _counted(texts, tables)
-    nt, nb, v = (x or 0 for x in counts.agg(F.sum("wt"), F.sum("wb"), F.count_if(F.col("wb") > 0)).first())
-    p = lambda n, total: F.lit(K) * (F.col(n) + 1) / F.lit(float(total + v + 1))
-    word = counts.where("wb > 0").select("w", p("wt", nt).alias("pt"), p("wb", nb).alias("pb"))
-    before = counts.where("hb > 0").select(F.col("w").alias("h"), F.log(F.col("ht") + K).alias("lt"), F.log(F.col("hb") + K).alias("lb"))
+        for batch in batches:
+            for chunk in c.chunks(batch.column(1)):
+                h, w, key, first = _bigrams(chunk)
+                own, at = c.owner(first), head.value.find(key)
+                inside = np.flatnonzero(at >= 0)
+                sums = [np.bincount(own[inside], x[at[inside]], chunk.n) for x in head.value.losses]
+                rest = np.flatnonzero(at < 0)
+                rest = rest[np.lexsort((key[rest], own[rest]))]
+                new = np.concatenate((np.ones(min(1, len(rest)), bool), (key[rest[1:]] != key[rest[:-1]]) | (own[rest[1:]] != own[rest[:-1]])))
+                lead = np.flatnonzero(new)
+                k, rest = np.diff(np.append(lead, len(rest))), rest[lead]
+                n = np.bincount(own[rest], minlength=chunk.n)
+                lists = [c.list_array(x, n) for x in (c.signed(h[rest]), c.signed(w[rest]), k.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(first)), *map(pa.array, sums), pa.array(np.diff(chunk.offsets)), *lists], [x.split()[0] for x in schema.split(", ")])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    scored = tables.cut(scored.withColumn("rid", F.monotonically_increasing_id()))
+    size, left = (x or 0 for x in scored.agg(F.sum("size"), F.sum(F.size("h"))).first())
+    rounds = max(1, -(-28 * left // max(1, size)))
+    rest = known.where("NOT head").drop("head")
     sums = []
-    for part in range(rounds):
-        pairs = tables.cut(_pairs(texts, part, rounds))
-        seen = F.col("rid").isNotNull()
-        bigrams = pairs.groupBy("h", "w").agg(F.sum(F.when(~seen, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("b"))
-        models = bigrams.join(word.hint("shuffle_hash"), "w").join(before.hint("shuffle_hash"), "h")
-        models = tables.cut(models.select("h", "w", (F.col("lt") - F.log(F.col("t") + F.col("pt"))).alias("t"), (F.col("lb") - F.log(F.col("b") + F.col("pb"))).alias("b")))
-        of = pairs.where(seen).join(models.hint("shuffle_hash"), ["h", "w"]).groupBy("rid")
-        sums.append(tables.cut(of.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("t")).alias("t"), F.sum(F.col("n") * F.col("b")).alias("b")), drop=(pairs, models)))
-    tables.drop(counts, target)
-    every = sums[0]
-    for x in sums[1:]:
-        every = every.union(x)
-    every = every.groupBy("rid").agg(*[F.sum(x).alias(x) for x in "ntb"])
-    ids = named.select("doc_id", "rid")
-    alike = ids.groupBy("rid").agg(F.count("*").alias("rows"))
-    out = ids.join(alike.join(every, "rid").hint("shuffle_hash"), "rid", "left")
-    target, background = (F.coalesce(F.col(x) / F.col("n"), F.lit(0.0)) for x in "tb")
-    return out.select("doc_id", F.coalesce(F.expr("n div rows"), F.lit(0)).cast("long").alias("n_tokens"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("score"))
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, **kw: int) -> DataFrame:
-    return score(docs, train(docs, labels, **kw)) if kw else full(docs, labels)
-
-
-def brute(texts: list[tuple[int, str | None]], target: set[int], words: int, bigrams: int) -> list[tuple[int, float, float]]:
+    for r in range(rounds if left else 0):
+        part = lambda df: df.where(F.pmod(F.xxhash64("h", "w"), F.lit(rounds)) == r) if rounds > 1 else df  # noqa: E731, B023
+        pairs = part(scored.select("rid", F.explode(F.arrays_zip("h", "w", "k")).alias("x")).select("rid", "x.h", "x.w", "x.k"))
+        met = pairs.join(part(rest).hint("merge"), ["h", "w"])
+        sums.append(tables.cut(met.groupBy("rid").agg(F.sum(F.col("k") * F.col("lt")).alias("rt"), F.sum(F.col("k") * F.col("lb")).alias("rb"))))
+    out = scored.select("rid", "doc_id", "n", "t", "b")
+    if sums:
+        every = reduce(DataFrame.union, sums)
+        out = out.join(every.groupBy("rid").agg(F.sum("rt").alias("rt"), F.sum("rb").alias("rb")).hint("merge"), "rid", "left")
+    else:
+        out = out.withColumn("rt", F.lit(0.0)).withColumn("rb", F.lit(0.0))
+    loss = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0.0))) / F.greatest("n", F.lit(1))
+    out = tables.cut(out.select("doc_id", F.col("n").alias("n_tokens"), loss("t", "rt").alias("target_loss"), loss("b", "rb").alias("background_loss")), drop=(known, scored, *sums))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def brute(texts: list[tuple[int, str | None]], target: set[int]) -> list[tuple[int, float, float]]:
     """Tokens and losses of each text, with dictionaries."""
     from collections import Counter
     from math import log
@@ -289,24 +191,20 @@ def brute(texts: list[tuple[int, str | None]], target: set[int], words: int, big
     split = lambda t: ("".join(x.lower() if x.isascii() else x for x in t or "")).translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")
     tokens = [(d, [w for w in split(t) if w]) for d, t in texts]
     count = Counter(w for _, ws in tokens for w in ws)
-    total = sum(count.values())
-    vocab = {w for w, n in count.items() if n * words >= total}
-    ids = [(d, [w if w in vocab else None for w in ws]) for d, ws in tokens]
-    models, kept = [], set()
-    for some in ([x for x in ids if x[0] in target], ids):
+    models = []
+    for some in ([x for x in tokens if x[0] in target], tokens):
         uni, pair, hist = Counter(), Counter(), Counter()
         for _, ws in some:
             for h, w in zip(["", *ws], ws, strict=False):
                 uni[w] += 1
                 pair[h, w] += 1
                 hist[h] += 1
-        kept |= {x for x, n in pair.items() if n * bigrams >= max(1, sum(uni.values()))}
         models.append((uni, pair, hist))
     out = []
-    for _, ws in ids:
+    for _, ws in tokens:
         losses = []
         for uni, pair, hist in models:
-            p = lambda w: (uni[w] + 1) / (sum(uni.values()) + len(vocab) + 1)  # noqa: E731, B023
-            losses.append(-sum(log(((pair[h, w] if (h, w) in kept else 0) + K * p(w)) / (hist[h] + K)) for h, w in zip(["", *ws], ws, strict=False)) / max(1, len(ws)))
+            p = lambda w: (uni[w] + 1) / (sum(uni.values()) + len(count) + 1)  # noqa: E731, B023
+            losses.append(-sum(log((pair[h, w] + K * p(w)) / (hist[h] + K)) for h, w in zip(["", *ws], ws, strict=False)) / max(1, len(ws)))
         out.append((len(ws), *losses))
     return out
