@@ -1,13 +1,15 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 A pattern is a window of consecutive benchmark words. For each window length the search keeps a shift table, indexed by a hash of
-the last two words of a window: how far the window may move on before its end can match. Where the shift is zero, the bucket of
+the last two or three words of a window: how far the window may move on before its end can match. Where the shift is zero, the bucket of
 that suffix hash names the patterns to test, and a direct comparison of all words, first by hash and then by bytes, confirms.
-Most positions are never looked at. Segments of all texts in a chunk are searched in step, as one numpy vector of positions.
+The table has some eight entries for each word of the patterns, so that most of it doesn't stop the search, and most positions are
+never looked at. Segments of all texts in a chunk are searched in step, as one numpy vector of positions.
 
-The patterns are held in memory by blocks of whole items with at most BLOCK_BYTES of text (an item that is larger is a block by
-itself); a larger benchmark takes several passes over the documents within the same stage, each adding to the rows of the one
-before. Nothing is shuffled and no join is made, so hot sources, long texts and groups of copies cost what their bytes cost.
+Memory. Patterns are compiled by blocks of whole items with at most BLOCK_BYTES of text (an item that is larger is a block by
+itself), and held as the words' bytes, their offsets and hashes, a window being its first word's number: some 12 bytes a byte of text
+with the tables. Each block is broadcast. A worker holds one block at a time: it gathers GATHER bytes of documents and searches them
+for one block after the other. Nothing is shuffled and no join is made, so hot sources, long texts and groups of copies cost what their bytes cost.
 
 Null or empty texts have no words. Null item ids mark words but are in no list of items; a repeated item counts once. Rows that
 repeat a doc_id are judged one by one. Further columns are kept by `decontaminate`, whatever their names.
@@ -26,8 +28,10 @@ from . import common as c
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+GATHER = 64 << 20
 SEGMENT = 128
-TABLE_BITS = 16
+TABLE_BITS = (16, 24)
+LARGE = 4096
 
 FOUND = T.StructType(
     [
@@ -46,33 +50,42 @@ def words_of(text: str | None) -> list[bytes]:
     return [data[s:e] for s, e in zip(starts, ends, strict=True)]
 
 
-def _hash_words(words: list[bytes]) -> np.ndarray:
-    lengths = np.array([len(w) for w in words])
-    ends = np.cumsum(lengths)
-    return c.span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends, False)
-
-
 class Patterns:
-    """Shift and bucket tables of all windows of one length."""
-
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], list[str]]):
-        self.m, self.block = length, min(2, length)
-        self.words, self.items = list(windows), [sorted(set(x)) for x in windows.values()]
-        self.hashes = _hash_words([w for x in self.words for w in x]).reshape(-1, length)
-        shift = np.full(1 << TABLE_BITS, length - self.block + 1, np.int32)
+    """Shift and bucket tables of all windows of one length: word numbers `first` of windows in a text of words, and their items (numbers)."""
+
+    def __init__(self, length: int, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray, item: np.ndarray):
+        self.m, self.data, self.starts, self.ends, self.hashes = length, data, starts.astype(np.int32), ends.astype(np.int32), hashes
+        self.block = min(length, 3 if len(first) > LARGE else 2)
+        # equal windows are one pattern, with the items of all
+        key = np.zeros(len(first), np.uint64)
+        for j in range(length):
+            key = c.mix(key * np.uint64(31) + hashes[first + j])
+        by = np.lexsort((item, key))
+        key, item = key[by], item[by]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        fresh = new | np.concatenate(([True], item[1:] != item[:-1]))
+        self.first = first[by][new].astype(np.int32)
+        self.item, self.items_at = item[fresh].astype(np.int32), np.append(np.flatnonzero(new[fresh]), fresh.sum()).astype(np.int32)
+        self.bits = int(np.clip(int(8 * len(self.first)).bit_length(), *TABLE_BITS))
+        shift = np.full(1 << self.bits, length - self.block + 1, np.int16)
         for end in range(self.block, length + 1):
-            np.minimum.at(shift, self.key(self.hashes, end - 1), length - end)
-        last = self.key(self.hashes, length - 1)
-        self.shift, self.by = shift, np.argsort(last, kind="stable")
-        self.bucket = np.searchsorted(last[self.by], np.arange((1 << TABLE_BITS) + 1))
-
-    def key(self, h: np.ndarray, at: int | np.ndarray) -> np.ndarray:
-        """The hash of the block of words that ends at a position (of each row of a matrix, or of one text)."""
-        col = (lambda k: h[:, k]) if h.ndim == 2 else (lambda k: h[k])
-        x = col(at) * np.uint64(0x9E3779B97F4A7C15)
-        if self.block == 2:
-            x = x + col(at - 1) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (x >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            np.minimum.at(shift, self.key(hashes, self.first + end - 1), length - end)
+        last = self.key(hashes, self.first + length - 1)
+        self.shift, self.by = shift, np.argsort(last, kind="stable").astype(np.int32)
+        self.bucket = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(last, minlength=1 << self.bits), out=self.bucket[1:])
+
+    def key(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The hash of the block of words that ends at each position."""
+        x = h[at] * np.uint64(0x9E3779B97F4A7C15)
+        for j, factor in enumerate((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[: self.block - 1]):
+            x = x + h[at - 1 - j] * np.uint64(factor)
+        x ^= x >> np.uint64(29)
+        return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def same(self, data: bytes, starts: np.ndarray, ends: np.ndarray, b: int, pattern: int) -> bool:
+        w = int(self.first[pattern])
+        return all(data[starts[b + j] : ends[b + j]] == self.data[self.starts[w + j] : self.ends[w + j]] for j in range(self.m))
 
     def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of windows and pattern numbers whose word hashes agree."""
@@ -96,38 +109,59 @@ class Patterns:
         pattern = self.by[np.repeat(self.bucket[keys] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         at = np.repeat(at, n)
         for j in range(self.m):
-            same = h[at - self.m + 1 + j] == self.hashes[pattern, j]
+            same = h[at - self.m + 1 + j] == self.hashes[self.first[pattern] + j]
             at, pattern = at[same], pattern[same]
         return at, pattern
 
 
-def compile_patterns(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Patterns]:
-    by: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by.setdefault(m, {}).setdefault(tuple(words[i : i + m]), []).extend([] if item is None else [item])
-    return [Patterns(m, w) for m, w in sorted(by.items())]
-
-
-def search_chunk(chunk: c.Chunk, patterns: list[Patterns]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+class Block:
+    """The patterns of some benchmark items, by window length, and the items' names."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {x: k for k, x in enumerate(self.names)}
+        column = pa.array([t for _, t in items], pa.large_string())
+        data, starts, ends, first, size, of = [], [], [], [], 0, []
+        for chunk in c.chunks(column):
+            s, e, f = chunk.spans(c.alnum_words())
+            data.append(c.LOWER[chunk.buf])
+            first.append(f[:-1] + sum(map(len, starts)))
+            starts.append(s + size)
+            ends.append(e + size)
+            size += len(chunk.buf)
+        of = np.array([number.get(i, -1) for i, _ in items], np.int64)
+        self.by_length: list[Patterns] = []
+        if not items:
+            return
+        buf = np.concatenate(data)
+        starts, ends, first = np.concatenate(starts), np.concatenate(ends), np.append(np.concatenate(first), sum(map(len, starts)))
+        hashes = c.span_hashes(buf, starts, ends, False)
+        n = np.diff(first)
+        for m in np.unique(np.minimum(n, window)).tolist():
+            if m:
+                some = np.flatnonzero(np.minimum(n, window) == m)
+                count = n[some] - m + 1
+                at = np.repeat(first[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                self.by_length.append(Patterns(m, buf.tobytes(), starts, ends, hashes, at, np.repeat(of[some], count)))
+
+
+def search_chunk(chunk: c.Chunk, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
     """Numbers of words, the index of each text's first word, which words are hit, and the items found in each text."""
     starts, ends, first = chunk.spans(c.alnum_words())
     h = c.span_hashes(chunk.buf, starts, ends, True)
     cover, found = np.zeros(len(h) + 1, np.int64), [set() for _ in range(chunk.n)]
     data = None
-    for p in patterns:
+    for p in block.by_length:
         at, which = p.search(h, first)
         if len(at):
             data = data or c.LOWER[chunk.buf].tobytes()
             text = np.searchsorted(first, at, "right") - 1
             for e, k, d in zip(at.tolist(), which.tolist(), text.tolist(), strict=True):
                 b = e - p.m + 1
-                if all(data[starts[b + j] : ends[b + j]] == w for j, w in enumerate(p.words[k])):
+                if p.same(data, starts, ends, b, k):
                     cover[b] += 1
                     cover[e + 1] -= 1
-                    found[d].update(p.items[k])
+                    found[d].update(block.names[i] for i in p.item[p.items_at[k] : p.items_at[k + 1]].tolist() if i >= 0)
     return np.diff(first), first, np.cumsum(cover)[:-1] > 0, found
 
 
@@ -135,49 +169,57 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
     """Whole items in blocks, read to the driver one partition at a time."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
-        if block and size + len(r.t or "") > block_bytes:
+        length = len((r.t or "").encode())
+        if block and size + length > block_bytes:
             yield block
             block, size = [], 0
         block.append((r.i, r.t))
-        size += len(r.t or "")
+        size += length
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text", out: str = "_leaks") -> DataFrame:
-    """All rows and columns of docs, with a struct column: n_words, hits (numbers of the words hit), items (ids, sorted)."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, FOUND)])
-    col = docs.columns.index(text)
-    for number, items in enumerate(_blocks(benchmark, block_bytes)):
-        patterns = docs.sparkSession.sparkContext.broadcast(compile_patterns(items, window))
-
-        def search(batches: Iterator[pa.RecordBatch], again: bool = number > 0, patterns=patterns) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for chunk in c.chunks(b.column(col)):
-                    rows = b.slice(chunk.first, chunk.n)
-                    n, first, hit, found = search_chunk(chunk, patterns.value)
-                    hits = [np.flatnonzero(hit[first[d] : first[d + 1]]) for d in range(chunk.n)]
-                    if again:
-                        old = rows.column(rows.num_columns - 1).to_pylist()
-                        hits = [np.union1d(x, np.array(o["hits"], np.int64)) for x, o in zip(hits, old, strict=True)]
-                        found = [x | set(o["items"]) for x, o in zip(found, old, strict=True)]
-                    kept = rows.columns[: -1 if again else None]
-                    what = pa.StructArray.from_arrays(
-                        [
-                            pa.array(n),
-                            c.list_array(np.concatenate(hits).astype(np.int64), np.array([len(x) for x in hits])),
-                            pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-                        ],
-                        ["n_words", "hits", "items"],
-                    )
-                    yield pa.RecordBatch.from_arrays([*kept, what], [*(f"c{i}" for i in range(len(kept))), "x"])
-
-        docs = docs.mapInArrow(search, T.StructType([T.StructField(f"c{i}" if i < len(schema) - 1 else "x", f.dataType) for i, f in enumerate(schema)]))
-    return docs.toDF(*schema.names)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text", out: str | None = None) -> DataFrame:
+    """All rows and columns of docs, with a struct column: n_words, hits (numbers of the words hit), items (ids, sorted). Unless given, its
+    name is _leaks, with underscores before it while that is taken."""
+    out = out or c.free_name(docs, "_leaks")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    col = [n.lower() for n in docs.columns].index(text)
+    names = plain.columns
+    blocks = [docs.sparkSession.sparkContext.broadcast(Block(items, window)) for items in _blocks(benchmark, block_bytes)]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, c.Chunk]]]:
+        held, size = [], 0
+        for b in batches:
+            for chunk in c.chunks(b.column(col)):
+                held.append((b.slice(chunk.first, chunk.n), chunk))
+                size += len(chunk.buf)
+                if size >= GATHER or len(blocks) == 1:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in gathered(batches):
+            results: list = [None] * len(group)
+            for block in blocks:
+                for i, (_, chunk) in enumerate(group):
+                    n, first, hit, found = search_chunk(chunk, block.value)
+                    old = results[i]
+                    results[i] = (n, first, hit, found) if old is None else (n, first, hit | old[2], [x | y for x, y in zip(found, old[3], strict=True)])
+                if len(blocks) > 1:
+                    block.__dict__.pop("_value", None)  # a worker keeps what it has loaded; this one comes again with the next documents
+            for (rows, chunk), (n, first, hit, found) in zip(group, results, strict=True):
+                hits = [np.flatnonzero(hit[first[d] : first[d + 1]]) for d in range(chunk.n)]
+                lists = [c.list_array(np.concatenate(hits).astype(np.int64), np.array([len(x) for x in hits])), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.StructArray.from_arrays([pa.array(n), *lists], ["n_words", "hits", "items"])], [*names, "x"])
+
+    return plain.mapInArrow(search, T.StructType([*plain.schema.fields, T.StructField("x", FOUND)])).toDF(*docs.columns, out)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest of the contract, a row per document."""
-    found = decontaminate(docs.select("doc_id", "text"), benchmark)
+    found = decontaminate(docs.select("doc_id", "text"), benchmark, out="_leaks")
     n_hit = F.size("_leaks.hits").cast("long")
     return found.select(
         "doc_id",
@@ -189,6 +231,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no window of the benchmark."""
+    out = c.free_name(docs, "_leaks")
+    found = decontaminate(docs, benchmark, out=out)
+    return found.where(F.size(f"{out}.hits") == 0).select(*[f"`{n}`" for n in docs.columns])
+
+
 def brute(text: str | None, items: list[tuple[str, str]], window: int = WINDOW) -> tuple[int, set[int], list[str]]:
     """What decontaminate finds in one text, by trying every pattern at every word."""
     words, hits, found = words_of(text), set(), set()
