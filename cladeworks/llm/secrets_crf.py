@@ -1,16 +1,21 @@
 """Secret scans by a linear-chain conditional random field.
 
 Tokens are runs of anything but white space, a chain is a line. Each token is tagged as secret begin, secret inside or outside. Scores come
-from its shape (length, shares of digits, capitals and symbols), its key part, the words before and after it, what the word before
-ends in, and the share of digits in the whole text; transitions join neighbours, and Viterbi finds the best tags of every line, all
-lines of a chunk in step. The base patterns find spans of fixed kinds in every text; spans tagged by the field are added where
-they overlap none of those, as kind `crf`.
-
-The field is trained on the driver, by likelihood with forward-backward, on lines of TRAIN_DOCS documents at most (those of the smallest
-hashes of doc_id): all their lines with a base span, every LINE_STEPth other one, none over LINE_TOKENS tokens; its labels are
-the base spans. Without any span in the sample nothing is added. Every line of every text is tagged, however long.
-
-Null texts are empty. Rows that repeat a doc_id are scanned one by one. Offsets count code points. Other columns are not read.
+from its shape (length; and of its longest run of letters and digits: length, how often the class of characters changes, shares of
+digits and capitals, whether it's hexadecimal, repeats), its word, its key part, the words before and after it, what the word before
+ends in, and of the file: the share of digits, the length, the place of the line, the source. Transitions join neighbours, and Viterbi finds
+the best tags of every line, all lines of a chunk in step. The base patterns find spans of fixed kinds in every text; spans tagged
+by the field are added where they overlap none of those, as kind `crf`.
+
+The field is trained on the driver, by likelihood with forward-backward; its labels are the base spans. All documents are searched for
+such spans, and it learns from TRAIN_DOCS of them at most, half with a span and half without, those of the smallest hashes; of a document
+from DOC_LINES lines at most, those with a span first, and of a line from a window of LINE_TOKENS tokens at most, around its first span. Half of
+the time the words of a token and its neighbours are hidden, so that it doesn't just learn the patterns' key words but what
+secrets look like, and finds those behind other words. The sample doesn't depend on how rows are dealt over partitions. Without any
+span nothing is added. Every line of every text is tagged, however long.
+
+Null texts are empty. Rows that repeat a doc_id are scanned one by one. Offsets count code points. A source column is read if there is
+one; other columns are not.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as c
 
 TRAIN_DOCS = 3000
-LINE_TOKENS = 120
-LINE_STEP = 20
+DOC_LINES = 16
+LINE_TOKENS = 64
 WORD_BITS = 12
 EPOCHS = 6
 KINDS = ("assign", "access", "hex", "crf")
@@ -59,47 +64,95 @@ _KIND[[*range(97, 123), *range(128, 256)]] = 1
 _KIND[65:91] = 2
 _KIND[48:58] = 3
 _KIND[[ord(x) for x in "+/_=-:"]] = 4
+_RUN = np.zeros(256, bool)
+_RUN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_HEX = np.zeros(256, bool)
+_HEX[[*range(48, 58), *range(97, 103)]] = True
 WORDS = 1 << WORD_BITS
-SHAPES = 8 * 4 * 4 * 3
-SIZE = SHAPES * 9 + 4 * WORDS + 8 + 1
-
-
-def token_features(chunk: c.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of tokens, the index of each line's first token, and the numbers of each token's features, a row for each."""
+TOKEN = [4, 8, 12, 16, 20, 32, 64]
+LENGTH = [6, 8, 10, 12, 14, 16, 20, 24, 32, 40, 64]
+CHANGES = [0.04, 0.12, 0.2, 0.3, 0.45]
+SHARES = [0.01, 0.2, 0.45, 0.75]
+# how many values each feature of a token has; the last four are of words, and can be hidden
+SIZES = [8 * 3 * 2, 12 * 6, 12 * 2 * 2, 4 * 5 * 5, 8 * 4, 8 * 4, 3 * 4, 65 * 4, 4 * 4 * 2, WORDS, WORDS, WORDS, WORDS]
+OFFSETS = np.concatenate(([0], np.cumsum(SIZES)))
+N_FEATURES, N_WORDS = len(SIZES), 4
+HIDDEN = int(OFFSETS[-1])  # stands for a word that isn't shown
+SIZE = HIDDEN + N_WORDS + 1
+
+
+def token_features(chunk: c.Chunk, sources: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of tokens, the index of each line's first token (and the number of tokens), the numbers of each token's features, a row
+    for each, and the numbers of lines in their texts. sources has a number below 64 for each text."""
     starts, ends, _ = chunk.spans(c.space_words())
     n = len(starts)
     if not n:
-        return starts, ends, np.zeros(1, np.int64), np.zeros((0, 7), np.int64)
+        return starts, ends, np.zeros(1, np.int64), np.zeros((0, N_FEATURES), np.int64), np.zeros(0, np.int64)
     kind = _KIND[chunk.buf]
-    counts = []
-    for k in (2, 3, 4):
-        run = np.concatenate(([0], np.cumsum(kind == k)))
-        counts.append(run[ends] - run[starts])
-    size = ends - starts
+    total = lambda x: np.concatenate(([0], np.cumsum(x)))
     step = lambda x, edges: np.searchsorted(edges, x, "right")
-    share = lambda x: step(x / size, [0.01, 0.35, 0.75])
-    shape = ((step(size, [4, 8, 12, 16, 20, 32, 64]) * 4 + share(counts[1])) * 4 + share(counts[0])) * 3 + np.minimum(counts[2], 2)
-    word = (c.span_hashes(chunk.buf, starts, ends, True) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    is_key = (_KIND[chunk.buf] == 4) & np.isin(chunk.buf, [61, 58])
-    where = np.flatnonzero(is_key)
+    size = ends - starts
+    digits = total(kind == 3)
+    symbols = total(kind == 4)
+    # the longest run of letters and digits of each token; tokens without one have the empty run at their start
+    r0, r1, _ = chunk.spans(_RUN)
+    lo, hi = starts.copy(), starts.copy()
+    if len(r0):
+        of = np.searchsorted(starts, r0, "right") - 1
+        lead = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        best = np.maximum.reduceat(((r1 - r0) << 32) | (2**32 - 1 - np.arange(len(r0))), lead)
+        best = 2**32 - 1 - (best & (2**32 - 1))
+        lo[of[lead]], hi[of[lead]] = r0[best], r1[best]
+    length = hi - lo
+    one = np.maximum(length, 1)
+    within = lambda run: run[hi] - run[lo]
+    change = np.zeros(len(kind), np.int64)
+    change[1:] = (kind[1:] != kind[:-1]) & _RUN[chunk.buf[1:]] & _RUN[chunk.buf[:-1]]
+    same = np.zeros(len(kind), np.int64)
+    same[1:] = chunk.buf[1:] == chunk.buf[:-1]
+    first_in = np.minimum(lo, len(kind) - 1)
+    changes = within(total(change)) - np.where(length > 0, change[first_in], 0)
+    repeats = within(total(same)) / one > 0.2
+    is_hex = within(total(_HEX[chunk.buf])) == length
+    coarse = step(length, [8, 12, 16])
+    share_d, share_u = step(within(digits) / one, SHARES), step(within(total(kind == 2)) / one, SHARES)
+
+    hash_of = lambda a, z: (c.span_hashes(chunk.buf, a, z, True) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    word = hash_of(starts, ends)
+    where = np.flatnonzero(np.isin(chunk.buf, [61, 58]))
     cut = np.searchsorted(where, starts)
-    has = (cut < len(where)) & (where[np.minimum(cut, len(where) - 1)] < ends) if len(where) else np.zeros(n, bool)
-    key_end = np.where(has, where[np.minimum(cut, len(where) - 1)] if len(where) else ends, starts)
-    key = (c.span_hashes(chunk.buf, starts, key_end, True) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    at = where[np.minimum(cut, len(where) - 1)] if len(where) else ends
+    key = hash_of(starts, np.where((cut < len(where)) & (at < ends), at, starts))
     breaks = np.flatnonzero(chunk.buf == 10)
-    text = np.searchsorted(chunk.offsets, starts, "right")
+    text = np.searchsorted(chunk.offsets, starts, "right") - 1
     line = np.searchsorted(breaks, starts) + text
     new = np.concatenate(([True], line[1:] != line[:-1]))
-    end_line = np.concatenate((new[1:], [True]))
     before, after = np.roll(word, 1), np.roll(word, -1)
-    before[new], after[end_line] = 0, 0
-    ends_in = np.roll(np.where(chunk.buf[ends - 1] == 58, 1, np.where(chunk.buf[ends - 1] == 61, 2, 0)), 1)
+    before[new], after[np.concatenate((new[1:], [True]))] = 0, 0
+    last = chunk.buf[ends - 1]
+    ends_in = np.roll(np.where(last == 58, 1, np.where(last == 61, 2, 0)), 1)
     ends_in[new] = 3
-    digits = np.bincount(text - 1, counts[1], chunk.n) / np.maximum(1, np.bincount(text - 1, size, chunk.n))
-    of_text = step(digits, [0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.3])[text - 1]
-    o = SHAPES * 9
-    ids = np.stack([shape, SHAPES * (1 + of_text) + shape, o + word, o + WORDS + before, o + 2 * WORDS + after, o + 3 * WORDS + key, o + 4 * WORDS + ends_in + 4 * (counts[1] > 0)], 1)
-    return starts, ends, np.append(np.flatnonzero(new), n), ids
+    has_key = (at < lo) & (at >= starts)
+    bytes_of = np.maximum(1, np.diff(chunk.offsets))
+    of_text = step((digits[chunk.offsets[1:]] - digits[chunk.offsets[:-1]]) / bytes_of, [0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.3])[text]
+    first_line = np.searchsorted(breaks, chunk.offsets[:-1]) + np.arange(chunk.n)
+    number = line - first_line[text]
+    last_line = np.searchsorted(breaks, chunk.offsets[1:]) + np.arange(chunk.n)
+    place = np.where(number == 0, 0, np.where(line == last_line[text], 2, 1))
+    source = (sources if sources is not None else np.full(chunk.n, 64))[text]
+    ids = [
+        (step(size, TOKEN) * 3 + np.minimum(symbols[ends] - symbols[starts], 2)) * 2 + (length == size),
+        step(length, LENGTH) * 6 + step(changes / one, CHANGES),
+        (step(length, LENGTH) * 2 + is_hex) * 2 + repeats,
+        (coarse * 5 + share_d) * 5 + share_u,
+        of_text * 4 + coarse,
+        step(bytes_of, [200, 500, 1000, 2000, 5000, 20000, 100000])[text] * 4 + coarse,
+        place * 4 + coarse,
+        source * 4 + coarse,
+        (ends_in * 4 + coarse) * 2 + has_key,
+        word, before, after, key,
+    ]
+    return starts, ends, np.append(np.flatnonzero(new), n), np.stack(ids, 1) + OFFSETS[:-1], number[new]
 
 
 class Field:
@@ -166,8 +219,11 @@ def _marginals(scores: np.ndarray, mask: np.ndarray, t: np.ndarray, s: np.ndarra
     return p, pair.sum((0, 1))
 
 
+HIDDEN_ROW = HIDDEN + np.maximum(0, np.arange(N_FEATURES) - (N_FEATURES - N_WORDS))
+
+
 def train(lines: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> Field | None:
-    """lines: feature numbers and tags of each token. Adam on the likelihood, with a small penalty on squares."""
+    """lines: feature numbers and tags of each token. Adam on the likelihood, with a small penalty on squares; words are hidden at random."""
     if not any((tags > 0).any() for _, tags in lines):
         return None
     field, rng, step = Field(), np.random.default_rng(11), 0
@@ -177,7 +233,7 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> F
     groups = [lines[i : i + 64] for i in range(0, len(lines), 64)]
     for _ in range(epochs):
         for gi in rng.permutation(len(groups)):
-            group = groups[gi]
+            group = [(np.where(rng.random((len(ids), 1)) < np.array([0.0] * (N_FEATURES - N_WORDS) + [0.5] * N_WORDS), HIDDEN_ROW, ids), tags) for ids, tags in groups[gi]]
             b, n = len(group), max(len(x[1]) for x in group)
             mask, gold = np.zeros((b, n), bool), np.zeros((b, n, 3))
             scores = np.zeros((b, n, 3))
@@ -207,41 +263,74 @@ def _points(buf: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
 
 
+def _tags(chunk: c.Chunk, texts: list[str | None], starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The tags that base spans give to tokens: the first of a span, or of its part in a line, is a begin."""
+    tags = np.zeros(len(starts), np.int8)
+    for d in range(chunk.n):
+        if spans := base_spans(texts[chunk.first + d] or ""):
+            lo, hi = chunk.offsets[d : d + 2]
+            point = _points(chunk.buf[lo:hi])
+            i, j = np.searchsorted(starts, [lo, hi])
+            a, z = point[starts[i:j] - lo], point[ends[i:j] - lo]
+            for _, s, e in spans:
+                inside = np.flatnonzero((a < e) & (z > s)) + i
+                fresh = inside[tags[inside] == 0]
+                tags[fresh] = 2
+                tags[fresh[:1]] = 1
+    lead = np.zeros(len(tags), bool)
+    lead[first[:-1]] = True
+    before = np.concatenate(([0], tags[:-1]))
+    tags[(tags == 2) & (lead | (before == 0))] = 1
+    return tags
+
+
+def _source(docs: DataFrame):
+    return F.pmod(F.xxhash64("source"), F.lit(64)).cast("int") if "source" in docs.columns else F.lit(64)
+
+
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field | None:
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id")).distinct()
-    sample = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            may = pc.fill_null(pc.match_substring_regex(b.column(1), MAY_MATCH), False).to_numpy(zero_copy_only=False)
+            has = [bool(m) and bool(base_spans(b.column(1)[i].as_py())) for i, m in enumerate(may.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(has, pa.bool_())], ["h", "has"])
+
+    one = docs.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("h"), "text", _source(docs).alias("source"))
+    found = one.select("h", "text").mapInArrow(search, "h long, has boolean").groupBy("h").agg(F.first("has").alias("has"))
+    half = rows // 2
+    chosen = found.where("has").orderBy("h").limit(half).union(found.where("NOT has").orderBy("h").limit(half)).collect()  # rows at most
+    schema = "h long, line long, ids array<int>, tags array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts, h, sources = b.column(1).to_pylist(), b.column(0).to_numpy(), b.column(2).to_numpy()
             for chunk in c.chunks(b.column(1)):
-                starts, ends, first, ids = token_features(chunk)
-                tags = np.zeros(len(starts), np.int8)
-                for d in range(chunk.n):
-                    if spans := base_spans(texts[chunk.first + d] or ""):
-                        lo, hi = chunk.offsets[d : d + 2]
-                        point = _points(chunk.buf[lo:hi])
-                        i, j = np.searchsorted(starts, [lo, hi])
-                        a, z = point[starts[i:j] - lo], point[ends[i:j] - lo]
-                        for _, s, e in spans:
-                            inside = np.flatnonzero((a < e) & (z > s)) + i
-                            tags[inside[1:]] = np.where(tags[inside[1:]] == 1, 1, 2)
-                            tags[inside[:1]] = np.where(tags[inside[:1]] == 2, 2, 1)
-                        got = tags[i:j]
-                        got[1:][(got[1:] == 2) & (got[:-1] == 0)] = 1
-                some = np.flatnonzero(np.diff(first) <= LINE_TOKENS) if len(starts) else []
-                take = [k for k in some if tags[first[k] : first[k + 1]].any() or k % LINE_STEP == 0]
-                new = [tags[first[k]] == 2 for k in take]
-                for k, inside in zip(take, new, strict=True):
-                    if inside:
-                        tags[first[k]] = 1
-                n = np.array([first[k + 1] - first[k] for k in take], np.int64)
-                pick = np.concatenate([np.arange(first[k], first[k + 1]) for k in take]) if take else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([c.list_array(ids[pick].ravel().astype(np.int32), n * 7), c.list_array(tags[pick].astype(np.int32), n)], ["ids", "tags"])
-
-    got = docs.join(sample, "doc_id").select("doc_id", "text").mapInArrow(run, "ids array<int>, tags array<int>").toArrow()
-    lines = [(i.values.to_numpy().reshape(-1, 7), t.values.to_numpy()) for i, t in zip(got["ids"], got["tags"], strict=True)]
-    return train(sorted(lines, key=lambda x: (len(x[1]), x[0].tobytes())))
+                starts, ends, first, ids, number = token_features(chunk, sources[chunk.first : chunk.first + chunk.n])
+                if not len(starts):
+                    continue
+                tags = _tags(chunk, texts, starts, ends, first)
+                any_ = np.maximum.reduceat(tags, first[:-1]) > 0
+                own = np.searchsorted(chunk.offsets, starts[first[:-1]], "right") - 1 + chunk.first
+                order = c.mix(h[own].view(np.uint64) ^ (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                by = np.lexsort((order, ~any_, own))
+                rank = np.arange(len(by)) - np.searchsorted(own[by], own[by])
+                out = []
+                for k in by[rank < DOC_LINES]:
+                    s, e = first[k], first[k + 1]
+                    if e - s > LINE_TOKENS:
+                        middle = s + int(np.argmax(tags[s:e] > 0)) - LINE_TOKENS // 2
+                        s = min(max(s, middle), e - LINE_TOKENS)
+                        e = s + LINE_TOKENS
+                    mine = tags[s:e].copy()
+                    mine[0] = 1 if mine[0] else 0
+                    out.append((h[own[k]], number[k], ids[s:e].ravel().astype(np.int32), mine.astype(np.int32)))
+                yield pa.RecordBatch.from_pylist([{"h": int(a), "line": int(x), "ids": i, "tags": y} for a, x, i, y in out], pa.schema([("h", pa.int64()), ("line", pa.int64()), ("ids", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32()))]))
+
+    if not chosen:
+        return None
+    few = F.broadcast(docs.sparkSession.createDataFrame([(r.h,) for r in chosen], "h long"))
+    got = one.join(few, "h").mapInArrow(run, schema).dropDuplicates(["h", "line"]).toArrow().sort_by([("h", "ascending"), ("line", "ascending")])
+    return train([(i.values.to_numpy().reshape(-1, N_FEATURES), t.values.to_numpy()) for i, t in zip(got["ids"], got["tags"], strict=True)])
 
 
 SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -265,7 +354,7 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
                     for k, kind in enumerate(KINDS[:3]):
                         counts[k, d] = sum(x[0] == kind for x in found)
                 if field is not None:
-                    starts, ends, first, ids = token_features(chunk)
+                    starts, ends, first, ids, _ = token_features(chunk, b.column(2).slice(chunk.first, chunk.n).to_numpy())
                     tags = field.viterbi(field.emissions(ids), first) if len(starts) else np.zeros(0, np.int8)
                     begins = np.flatnonzero(tags == 1)
                     if len(begins):
@@ -284,8 +373,8 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
                     [x.split()[0] for x in SCAN.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _source(docs).alias("source")).mapInArrow(run, SCAN)
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    return scan(docs, fit(docs.select("doc_id", "text")))
+    return scan(docs, fit(docs))
