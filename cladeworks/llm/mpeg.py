@@ -1,9 +1,10 @@
 """MPEG audio columns: bytes to an audio stream and back, and an index of any MPEG-1, 2 or 2.5 stream of layers I to III.
 
 Reading resynchronises at frame headers (a header counts if its successor, where its length says, has the same version, layer and
-rate, or the stream ends there), skips ID3v2 and ID3v1 tags, reads Xing and Info tables of variable bit rate, verifies the CRC-16 of
-protected frames, and gives exact durations (samples and rate) and the byte offset of each frame. Frames with one header in a row are
-taken as one numpy matrix.
+rate, or the stream ends there), skips ID3v2.2 to 2.4 and ID3v1 tags, reads the variable-bitrate tables Xing, Info and VBRI with an encoder's delay and
+padding, verifies the CRC-16 of protected frames of all layers, and gives exact durations (samples less delay and padding, and rate) and the
+byte offset of each frame. Frames are found one after the other and their checksums then computed together, so time is linear in
+frames however headers change. Streams of free format (no bit rate in the header) aren't read: their bytes count as skipped.
 
 Storing. Each UNIT payload bytes become one mono MPEG-2 layer III frame of as many samples, at 16 kHz and 144 kbit/s, with CRC: silence
 whose ancillary data are the payload, so any player can play it and nothing is lost. A Xing table and an ID3v2 tag with the length come
@@ -75,16 +76,71 @@ def header(four: bytes) -> Header | None:
     return Header(version, layer, not four[1] & 1, kbps, hertz, mono, length, samples, side)
 
 
-@lru_cache(65536)
-def crc16(data: bytes) -> int:
-    x = 0xFFFF
-    for b in data:
-        x ^= b << 8
+def crc16(data: bytes, bits: int | None = None, x: int = 0xFFFF) -> int:
+    """The checksum of the first bits (all, if not given) of data."""
+    bits = 8 * len(data) if bits is None else bits
+    for b in data[: bits // 8]:
+        x = (x << 8 & 0xFF00) ^ _CRC[x >> 8 ^ b]
+    for k in range(bits % 8):
+        top = (x >> 15) ^ (data[bits // 8] >> 7 - k & 1)
+        x = x << 1 & 0xFFFF ^ (0x8005 if top else 0)
+    return x
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for b in range(256):
+        x = b << 8
         for _ in range(8):
             x = (x << 1 ^ 0x8005 if x & 0x8000 else x << 1) & 0xFFFF
+        out.append(x)
+    return out
+
+
+_CRC = _crc_table()
+_CRC_ARRAY = np.array(_CRC, np.uint16)
+
+
+def _crc_rows(rows: np.ndarray) -> np.ndarray:
+    """The checksum of each row of bytes."""
+    x = np.full(len(rows), 0xFFFF, np.uint16)
+    for col in rows.T:
+        x = (x << np.uint16(8)) ^ _CRC_ARRAY[(x >> np.uint16(8)) ^ col]
     return x
 
 
+# Fixed values of the format: bits of allocation for runs of subbands (bits, subbands) of layer II, by table.
+ALLOCATION = {"a": [(4, 11), (3, 12), (2, 4)], "b": [(4, 11), (3, 12), (2, 7)], "c": [(4, 2), (3, 6)], "d": [(4, 2), (3, 10)], "lsf": [(4, 4), (3, 7), (2, 19)]}
+
+
+def _covered(data: bytes, at: int, h: Header) -> int:
+    """How many bits after the checksum it covers: side information in layer III, allocation in layer I, and selection of scale factors too in II."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    joint = data[at + 3] >> 6 == 1
+    bound = 4 * ((data[at + 3] >> 4 & 3) + 1) if joint else 32
+    if h.layer == 1:
+        return 4 * (channels * min(bound, 32) + (32 - min(bound, 32)))
+    each = h.kbps // channels
+    if h.version != 3:
+        name = "lsf"
+    elif each <= 48:
+        name = "d" if h.hertz == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or h.hertz == 48000 else "b"
+    widths = [w for w, n in ALLOCATION[name] for _ in range(n)]
+    body = data[at + 6 : at + 6 + 64]
+    value, size = int.from_bytes(body, "big"), 8 * len(body)
+    used = scale = 0
+    for sb, w in enumerate(widths):
+        for _ in range(channels if sb < bound else 1):
+            some = value >> max(0, size - used - w) & (1 << w) - 1
+            scale += (1 if sb < bound else channels) * bool(some)
+            used += w
+    return used + 2 * scale
+
+
 @dataclass
 class Stream:
     frames: int = 0
@@ -93,30 +149,71 @@ class Stream:
     checked: int = 0
     bad: int = 0
     skipped: int = 0
+    delay: int = 0
+    padding: int = 0
     kbps: set[int] = field(default_factory=set)
-    offsets: list[np.ndarray] = field(default_factory=list)
+    seek: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     bodies: list[np.ndarray] = field(default_factory=list)
     tags: dict[str, str] = field(default_factory=dict)
     table: tuple[int, int, bytes] | None = None
 
     @property
-    def seek(self) -> np.ndarray:
-        return np.concatenate(self.offsets) if self.offsets else np.zeros(0, np.int64)
+    def exact(self) -> int:
+        """Samples without what the encoder added in front and behind."""
+        return max(0, self.samples - self.delay - self.padding)
 
 
 def _id3(data: bytes, tags: dict[str, str]) -> int:
-    """Reads an ID3v2 tag at the start, into tags (its text frames); gives its length."""
+    """Reads an ID3v2 tag at the start, into tags (its own text frames, and the title); gives its length with its footer."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
     safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+    version = data[3]
     end, at = min(10 + safe(data[6:10]), len(data)), 10
-    while at + 10 <= end and data[at]:
-        n = safe(data[at + 4 : at + 8])
-        if data[at : at + 4] == b"TXXX" and n > 1:
-            key, _, value = data[at + 11 : at + 10 + n].partition(b"\0")
+    if data[5] & 0x40 and version > 2 and at + 4 <= end:  # an extended header, whose size counts itself in version 4 only
+        at += safe(data[at : at + 4]) if version > 3 else 4 + int.from_bytes(data[at : at + 4], "big")
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= end and data[at]:
+        size = data[at + name : at + name + (3 if version == 2 else 4)]
+        n = safe(size) if version > 3 else int.from_bytes(size, "big")
+        kind, body = data[at : at + name], data[at + head : at + head + n]
+        if kind in (b"TXXX", b"TXX") and n > 1:
+            key, _, value = body[1:].partition(b"\0")
             tags[key.decode("latin-1")] = value.decode("latin-1")
-        at += 10 + n
-    return end
+        elif kind in (b"TIT2", b"TT2") and n > 1:
+            tags["title"] = body[1:].rstrip(b"\0").decode("latin-1")
+        at += head + n
+    return min(len(data), end + 10) if version == 4 and data[5] & 0x10 else end
+
+
+def _table(s: Stream, data: bytes, at: int, h: Header) -> bool:
+    """Whether the frame holds a variable-bitrate table, which it reads."""
+    x = at + 4 + 2 * h.protected + h.side
+    plain = at + 4 + h.side  # many encoders leave no room for a checksum here
+    for x in (plain, x):
+        if data[x : x + 4] in (b"Xing", b"Info"):
+            flags, x = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8
+            frames = size = 0
+            toc = b""
+            if flags & 1:
+                frames, x = int.from_bytes(data[x : x + 4], "big"), x + 4
+            if flags & 2:
+                size, x = int.from_bytes(data[x : x + 4], "big"), x + 4
+            if flags & 4:
+                toc, x = data[x : x + 100], x + 100
+            x += 4 if flags & 8 else 0
+            if data[x : x + 4] in (b"LAME", b"Lavf", b"Lavc") and x + 24 <= at + h.length:
+                both = int.from_bytes(data[x + 21 : x + 24], "big")
+                s.delay, s.padding = both >> 12, both & 0xFFF
+            s.table = frames, size, toc
+            return True
+    x = at + 36
+    if data[x : x + 4] == b"VBRI" and x + 26 <= at + h.length:
+        size, frames, n, _, width = struct.unpack(">IIHHH", data[x + 10 : x + 24])
+        s.delay = int.from_bytes(data[x + 6 : x + 8], "big")
+        s.table = frames, size, data[x + 26 : x + 26 + n * width]
+        return True
+    return False
 
 
 def parse(data: bytes, bodies: bool = False) -> Stream:
@@ -126,51 +223,58 @@ def parse(data: bytes, bodies: bool = False) -> Stream:
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         s.tags["title"] = data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
         end -= 128
-    synced = False
+    offsets: list[int] = []
+    kinds: list[Header] = []
+    synced, h = False, header(data[at : at + 4])
     while at + 4 <= end:
-        h = header(data[at : at + 4])
-        if h is not None and at + h.length <= end:
-            after = at + h.length
-            follows = after >= end or ((n := header(data[after : after + 4])) is not None and n.fits(h))
-        else:
-            follows = False
-        if not follows and not (synced and h is not None and at + h.length <= end and h.protected and _sound(data, at, h)):
+        good = h is not None and at + h.length <= end
+        after = at + h.length if good else at
+        n = header(data[after : after + 4]) if good and after + 4 <= end else None
+        if not (good and (after >= end or n is not None and n.fits(h) or synced and h.protected and _sound(data, at, h))):
             nxt = data.find(b"\xff", at + 1, end)
             s.skipped += (end if nxt < 0 else nxt) - at
             at, synced = (end if nxt < 0 else nxt), False
+            h = header(data[at : at + 4])
             continue
-        if not s.frames and s.table is None and (x := at + 4 + h.side) and data[x : x + 4] in (b"Xing", b"Info"):
-            flags, x = struct.unpack(">I", data[x + 4 : x + 8])[0], x + 8
-            frames, size, toc = 0, 0, b""
-            if flags & 1:
-                frames, x = struct.unpack(">I", data[x : x + 4])[0], x + 4
-            if flags & 2:
-                size, x = struct.unpack(">I", data[x : x + 4])[0], x + 4
-            if flags & 4:
-                toc = data[x : x + 100]
-            s.table, at, synced = (frames, size, toc), at + h.length, True
-            continue
-        room = (end - at) // h.length
-        same = (buf[at : at + room * h.length].reshape(room, h.length)[:, :4] == buf[at : at + 4]).all(1)
-        n = room if same.all() else int(same.argmin())
-        block = buf[at : at + n * h.length].reshape(n, h.length)
-        if h.protected and h.layer == 3:
-            parts, which = np.unique(np.concatenate((block[:, 2:4], block[:, 6 : 6 + h.side]), 1), axis=0, return_inverse=True)
-            want = np.array([crc16(p.tobytes()) for p in parts])[which.ravel()]
-            s.checked += n
-            s.bad += int((want != (block[:, 4].astype(np.int64) << 8 | block[:, 5])).sum())
-        s.frames, s.samples, s.hertz = s.frames + n, s.samples + n * h.samples, h.hertz
-        s.kbps.add(h.kbps)
-        s.offsets.append(at + h.length * np.arange(n))
-        if bodies:
-            s.bodies.append(block[:, 4 + 2 * h.protected + h.side :])
-        at, synced = at + n * h.length, True
+        if offsets or s.table is not None or not _table(s, data, at, h):
+            offsets.append(at)
+            kinds.append(h)
+        at, synced, h = after, True, n
     s.skipped += max(0, end - at)
+    s.frames, s.seek = len(offsets), np.array(offsets, np.int64)
+    if not offsets:
+        return s
+    s.hertz = kinds[-1].hertz
+    number = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+    which = np.array([number[k] for k in kinds])
+    for k, i in number.items():
+        own = s.seek[which == i]
+        s.samples += len(own) * k.samples
+        s.kbps.add(k.kbps)
+        if not k.protected:
+            continue
+        s.checked += len(own)
+        if k.layer == 3:
+            rows = np.concatenate((buf[own[:, None] + np.arange(2, 4)], buf[own[:, None] + np.arange(6, 6 + k.side)]), 1)
+            s.bad += int((_crc_rows(rows) != (buf[own + 4].astype(np.uint16) << np.uint16(8) | buf[own + 5])).sum())
+        else:
+            s.bad += sum(not _sound(data, x, k) for x in own.tolist())
+    if bodies:
+        edges = np.flatnonzero(np.diff(which)) + 1
+        for part, i in zip(np.split(s.seek, edges), which[np.append(0, edges)].tolist(), strict=True):
+            k = list(number)[i]
+            step = np.diff(part)
+            if len(part) > 1 and (step == k.length).all():
+                rows = buf[part[0] : part[0] + len(part) * k.length].reshape(-1, k.length)
+            else:
+                rows = buf[part[:, None] + np.arange(k.length)]
+            s.bodies.append(rows[:, 4 + 2 * k.protected + k.side :])
     return s
 
 
 def _sound(data: bytes, at: int, h: Header) -> bool:
-    return h.layer == 3 and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+    bits = _covered(data, at, h)
+    return crc16(data[at + 6 : at + 7 + bits // 8], bits, crc16(data[at + 2 : at + 4])) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 _AUDIO, _TABLE = bytes([0xFF, 0xF2, 0xD8, 0xC0]), bytes([0xFF, 0xF3, 0xD8, 0xC0])  # MPEG-2 layer III, 144 kbit/s, 16 kHz, mono
@@ -208,7 +312,7 @@ def feature(s: Stream) -> str:
     """Rate, samples, exact duration in ms, bit rates, checksums, table and seek offsets of a stream."""
     seek = s.seek
     picks = seek[[0, len(seek) // 4, len(seek) // 2, 3 * len(seek) // 4, len(seek) - 1]] if len(seek) else []
-    ms = f"{s.samples * 1000 // s.hertz}.{s.samples * 10**6 // s.hertz % 1000:03d}" if s.hertz else "0"
+    ms = f"{s.exact * 1000 // s.hertz}.{s.exact * 10**6 // s.hertz % 1000:03d}" if s.hertz else "0"
     table = f"{s.table[0]}/{s.table[1]}/{zlib.crc32(s.table[2])}" if s.table else "-"
     return f"hz={s.hertz};samples={s.samples};ms={ms};kbps={'+'.join(map(str, sorted(s.kbps)))};frames={s.frames};crc={s.checked - s.bad}/{s.checked};table={table};seek={','.join(map(str, picks))}"
 
@@ -227,20 +331,20 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def index(media: DataFrame) -> DataFrame:
-    """For (doc_id, media) of any streams: samples, hertz, frames, bad checksums, bytes outside of frames, seek offsets."""
+    """For (doc_id, media) of any streams: samples, exact duration in seconds, hertz, frames, checked and bad checksums, bytes outside of
+    frames, frames by the variable-bitrate table (null without one), title, seek offsets of all frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, m in enumerate(b.column(1)):
                 s = parse(m.as_py() or b"")
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), *(pa.array([x], pa.int64()) for x in (s.samples, s.hertz, s.frames, s.bad, s.skipped)), pa.array([s.seek.tolist()], pa.list_(pa.int64()))],
-                    ["doc_id", "samples", "hertz", "frames", "bad", "skipped", "seek"],
-                )
+                row = {"samples": s.samples, "seconds": s.exact / s.hertz if s.hertz else 0.0, "hertz": s.hertz, "frames": s.frames, "checked": s.checked, "bad": s.bad, "skipped": s.skipped, "table_frames": s.table[0] if s.table else None, "title": s.tags.get("title"), "seek": s.seek.tolist()}
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([v], INDEX[k]) for k, v in row.items())], ["doc_id", *row])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, samples long, hertz long, frames long, bad long, skipped long, seek array<long>")
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, samples long, seconds double, hertz long, frames long, checked long, bad long, skipped long, table_frames long, title string, seek array<long>")
 
 
+INDEX = dict.fromkeys(("samples", "hertz", "frames", "checked", "bad", "skipped", "table_frames"), pa.int64()) | {"seconds": pa.float64(), "title": pa.string(), "seek": pa.list_(pa.int64())}
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
