@@ -1,13 +1,16 @@
 """WARC archives with revisit records, written and read without a local file system.
 
-Writing. Only headers (page_id, payload digest, length) are shuffled by digest to find, of records with equal payloads, the one with
-the smallest page_id; the pages that revisit it are joined back by page_id, which no group of copies makes hot. Every record gets fresh
+Writing. Only headers (page_id, url, payload digest, length) are shuffled by digest to find, of records with equal payloads, the one with
+the smallest page_id; digests that more than a thousandth of the pages share meet it in a broadcast. Of the pages themselves, only those
+that may revisit one are shuffled, by page_id, which no group of copies makes hot. Every record gets fresh
 headers and becomes one gzip member. Spark's own text sink writes them, so archives go to any store through its commit protocol
 and a lost task leaves nothing behind: the last byte of a gzip member is the top byte of the record's length, zero below
 16 MB, so members are written without it and the sink's line separator, a zero byte, puts it back. A longer record is followed by
-an empty member, which readers skip. The files are plain .warc.gz data under Spark's part names.
+an empty member, which readers skip. The files are plain .warc.gz data under Spark's part names. A file has as many records as have
+FILE_BYTES of payload at the most (one, if that is larger); payloads over LARGE bytes have files of their own, so that a few of them don't make all
+files short. There is no warcinfo record, as the sink gives no say in where a file starts.
 
-Reading. Whole files (at most RECORDS records each) are read as bytes, inflated member by member, and each payload is hashed and held
+Reading. Whole files, of FILE_BYTES or one record, are read as bytes, inflated member by member, and each payload is hashed and held
 against its record's digest. Revisit records have no payload: their length comes from the original response, to which they are
 joined by record id; the digest must be the same there.
 
@@ -31,6 +34,8 @@ from . import common as c
 
 LEAST_BYTES = 0
 RECORDS = 20_000
+FILE_BYTES = 128 << 20
+LARGE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
@@ -44,8 +49,12 @@ def base32_sha1(hexa: str) -> str:
     return base64.b32encode(bytes.fromhex(hexa)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
-    """One record; refers_to is the page_id of the original, for a revisit."""
+def _uri(url: str) -> str:
+    return quote(url, safe=";/?:@&=+$,#%!~*()[]'")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, original_url: str | None = None) -> bytes:
+    """One record; refers_to and original_url are the page_id and url of the original, for a revisit."""
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -54,8 +63,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {record_id(page_id, sha1)}",
         f"WARC-Date: {DATE}",
-        *([] if url is None else [f"WARC-Target-URI: {quote(url, safe=';/?:@&=+$,#%!~*()[]' + chr(39))}"]),
-        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, sha1)}"]),
+        *([] if url is None else [f"WARC-Target-URI: {_uri(url)}"]),
+        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, sha1)}", f"WARC-Refers-To-Date: {DATE}"]),
+        *([] if refers_to is None or original_url is None else [f"WARC-Refers-To-Target-URI: {_uri(original_url)}"]),
         f"WARC-Payload-Digest: sha1:{base32_sha1(sha1)}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
@@ -103,24 +113,36 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = LEAST_BYTES, record
     """Writes pages (page_id, url, html) as archives under path."""
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"), F.sha1(body).alias("sha1"))
-    heads = pages.select("page_id", "sha1", F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
-    first = heads.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha1", "first")
-    again = heads.join(first, "sha1").where("page_id > first").select("page_id", "sha1", F.col("first").alias("refers_to")).distinct()
-    rows = pages.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
+    heads = pages.select("page_id", "url", "sha1", F.octet_length("payload").cast("long").alias("n"))
+    total, most_small, most = heads.agg(F.count("*"), F.max(F.when(F.col("n") <= LARGE, F.col("n"))), F.max("n")).first()
+    heads = heads.where(F.col("n") >= least_bytes).select("page_id", "url", "sha1")
+    first = heads.where("page_id IS NOT NULL").groupBy("sha1").agg(F.min(F.struct("page_id", "url")).alias("f"), F.max("page_id").alias("last"), F.count("*").alias("copies"))
+    first = first.where("f.page_id < last").select("sha1", F.col("f.page_id").alias("refers_to"), F.col("f.url").alias("original_url"), "copies")
+    again = c.split_join(heads.select("page_id", "sha1"), first, ["sha1"], "copies", total).where("page_id > refers_to")
+    tables = c.Tables(pages.sparkSession)
+    again = tables.cut(again.select("page_id", "sha1", "refers_to", "original_url").distinct())
+    known = c.maybe(pages, again, ["page_id", "sha1"])
+    met = known.where("may").drop("may").join(again.hint("merge"), ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to", "original_url")
+    rows = met.union(known.where("may IS NULL").select("page_id", "url", "payload", "sha1", F.lit(None).cast("long"), F.lit(None).cast("string")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size = [], 0
-            for page_id, url, payload, sha1, refers in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                out.append(member(record(page_id, url, payload, sha1, refers))[:-1])
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                out.append(member(record(*row))[:-1])
                 size += len(out[-1])
                 if size > 4 * c.CHUNK_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    made = rows.mapInArrow(make, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", records).text(path)
+    large = F.octet_length("payload") > LARGE
+    for some, longest in ((~large, most_small), (large, most if (most or 0) > LARGE else None)):
+        if longest is not None or (some is not large and not total):
+            made = rows.where(some).mapInArrow(make, "value binary").select(F.col("value").cast("string").alias("value"))
+            limit = max(1, min(records, FILE_BYTES // max(1, longest or 1)))
+            made.write.mode("append").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", limit).text(path)
+    tables.drop(again)
 
 
 HEADERS = "page_id long, record_type string, record_id string, refers_to string, payload_bytes long, payload_digest string"
@@ -152,13 +174,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def resolve(records: DataFrame, tables: c.Tables) -> DataFrame:
     """A row per record: revisits get length and page_id of their original responses."""
     records = tables.cut(records)
-    originals = records.where("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("original"), F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("digest"))
-    originals = tables.cut(originals)
-    revisits = records.where("record_type = 'revisit'").join(originals.withColumnRenamed("record_id", "refers_to"), "refers_to", "left")
+    revisits = records.where("record_type = 'revisit'")
+    copies = revisits.groupBy("refers_to").agg(F.count("*").alias("copies"))
+    originals = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.first("page_id").alias("original"), F.first("payload_bytes").alias("n"), F.first("payload_digest").alias("digest"))
+    originals = tables.cut(originals.join(copies.hint("merge"), "refers_to"))
+    met = c.split_join(revisits.drop("payload_bytes"), originals, ["refers_to"], "copies", revisits.count())
     fits = F.when(F.col("digest") == F.col("payload_digest"), F.col("n")).otherwise(F.raise_error(F.lit("a revisit has no original with its digest")).cast("long"))
-    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     plain = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    return plain.union(revisits.select("page_id", fits.alias("payload_bytes"), "payload_digest", "record_type", F.col("original").alias("refers_to")).select(*cols))
+    return plain.union(met.select("page_id", fits.alias("payload_bytes"), "payload_digest", "record_type", F.col("original").alias("refers_to")))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
