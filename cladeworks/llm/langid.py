@@ -3,18 +3,19 @@
 P(l | page) is in proportion to P(text | l)^c * P(declared | l) * P(suffix | l) * P(l | host):
 
 - Text: naive Bayes over byte trigrams, hashed to 2^14 numbers, counted over all documents of each language. As trigrams of one text
-  aren't independent, its log likelihood is scaled to that of TRIGRAMS at most (the exponent c).
+  aren't independent, its log likelihood is scaled by an exponent c: the one of EXPONENTS that gives the languages of held-out documents (a
+  tenth, by doc_id hash, left out of the counts for this) the greatest likelihood, judged by FRAGMENT trigrams in a row of each.
 - Declared language (the html tag's lang, its primary subtag) and address suffix (last label of the host): for each text language
   the shares of their values, smoothed; counted over all pages by grouped aggregation, with the language that the text alone gives.
 - Host prior: shares of those languages on the host, smoothed with ALPHA pages' worth of the shares of its domain (the last two
   labels), those in turn with ALPHA of the shares over all pages, and those with one page for each language.
 
-Counts by host are written as a table before they are joined, so that Spark can split a hot host's pages over tasks. The tables of
-declared languages and suffixes hold each value that COMMON pages or more have in a million, so 10^6 / COMMON at most; others share one entry.
+Every value has its own counts, however rare. The tables by host, declared language and suffix are joined with the pages; values that more than
+a thousandth of the pages share meet them in a broadcast, so no task gets all pages of a hot host.
 
 Null html is an empty page: its text says nothing and the priors decide. A null or odd address has an empty host and suffix. Rows that
 repeat a page_id are judged one by one. Documents without text or language don't count; without any document there is no language
-(null) to give. Languages may number MOST_LANGUAGES. Other columns are not read.
+(null) to give. The model has 2^14 numbers a language, so languages may number MOST_LANGUAGES; more are an error. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as c
 
 BITS = 14
-TRIGRAMS = 60
+FRAGMENT = 24
+EXPONENTS = [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0]
 ALPHA = 10.0
-COMMON = 50
 MOST_LANGUAGES = 200
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
@@ -78,33 +79,65 @@ def trigrams(chunk: c.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and the log probability of each trigram number in each."""
-    docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
+    """Languages, sorted, and the log probability of each trigram number in each, times the exponent c."""
+    held = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0, F.lit(False))
+    docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text", held.alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, bool], np.ndarray] = {}
         for b in batches:
-            langs = b.column(0).to_pylist()
+            groups = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
             for chunk in c.chunks(b.column(1)):
-                names = sorted(set(langs[chunk.first : chunk.first + chunk.n]))
-                code = np.array([names.index(x) for x in langs[chunk.first : chunk.first + chunk.n]])
+                names = sorted(set(groups[chunk.first : chunk.first + chunk.n]))
+                number = {x: i for i, x in enumerate(names)}
+                code = np.array([number[x] for x in groups[chunk.first : chunk.first + chunk.n]])
                 x, own = trigrams(chunk)
                 counts = np.bincount((code[own] << BITS) | x, minlength=len(names) << BITS).reshape(len(names), -1)
                 for name, n in zip(names, counts, strict=True):
                     total[name] = total.get(name, 0) + n
-        for name, n in total.items():
+        for (name, out), n in total.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "x", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([out] * len(at), pa.bool_()), pa.array(at), pa.array(n[at])], ["lang", "held", "x", "n"])
 
-    got = docs.mapInArrow(run, "lang string, x long, n long").groupBy("lang", "x").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.mapInArrow(run, "lang string, held boolean, x long, n long").groupBy("lang", "x").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("out")).toArrow()
     names = sorted(set(got["lang"].to_pylist()))
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"{len(names)} languages; {MOST_LANGUAGES} are allowed")
-    counts = np.full((len(names), 1 << BITS), 0.5)
-    if names:
-        code = {x: i for i, x in enumerate(names)}
-        counts[[code[x] for x in got["lang"].to_pylist()], got["x"].to_numpy()] += got["n"].to_numpy()
-    return names, np.log(counts / counts.sum(1, keepdims=True))
+    if not names:
+        return names, np.zeros((0, 1 << BITS))
+    code = {x: i for i, x in enumerate(names)}
+    at = [code[x] for x in got["lang"].to_pylist()], got["x"].to_numpy()
+
+    def log_share(*columns: str) -> np.ndarray:
+        counts = np.full((len(names), 1 << BITS), 0.5)
+        counts[at] += got[columns[0]].to_numpy() - (got[columns[1]].to_numpy() if len(columns) > 1 else 0)
+        return np.log(counts / counts.sum(1, keepdims=True))
+
+    return names, log_share("n") * _exponent(docs, names, log_share("n", "out"))
+
+
+def _exponent(docs: DataFrame, names: list[str], logp: np.ndarray) -> float:
+    shared = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(logp.T)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = shared.value
+        total = np.zeros(len(EXPONENTS))
+        for b in batches:
+            lang = np.searchsorted(names, b.column(0).to_numpy(zero_copy_only=False).astype(str)) if b.num_rows else []
+            for chunk in c.chunks(b.column(1)):
+                x, own = trigrams(chunk)
+                n = np.bincount(own, minlength=chunk.n)
+                rank = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                first = c.mix(n.astype(np.uint64) + np.uint64(17)) % np.maximum(1, n - FRAGMENT + 1).astype(np.uint64)  # anywhere in the text
+                some = (rank >= first[own].astype(np.int64)) & (rank < first[own].astype(np.int64) + FRAGMENT)
+                score = np.stack([np.bincount(own[some], col[x[some]], chunk.n) for col in table.T], 1)
+                true = score[np.arange(chunk.n), lang[chunk.first : chunk.first + chunk.n]]
+                for k, s in enumerate(EXPONENTS):
+                    total[k] += (s * (true - score.max(1)) - np.log(np.exp(s * (score - score.max(1, keepdims=True))).sum(1))).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(EXPONENTS))), pa.array(total)], ["k", "total"])
+
+    rows = docs.where("held").select("lang", "text").mapInArrow(run, "k long, total double").groupBy("k").agg(F.round(F.sum("total"), 6).alias("total")).collect()
+    return EXPONENTS[max(rows, key=lambda r: (r.total, r.k)).k] if rows and any(r.total for r in rows) else 0.2
 
 
 SEEN = "page_id long, host string, domain string, suffix string, declared string, text_lang int, loglik array<double>"
@@ -123,9 +156,7 @@ def evidence(pages: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
                 for chunk in c.chunks(pa.array([visible(x) for x in html], pa.large_string())):
                     own_html = html[chunk.first : chunk.first + chunk.n]
                     x, own = trigrams(chunk)
-                    n = np.bincount(own, minlength=chunk.n)
                     score = np.stack([np.bincount(own, col[x], chunk.n) for col in table.T], 1).astype(float)
-                    score *= (np.minimum(n, TRIGRAMS) / np.maximum(n, 1))[:, None]
                     at = lo + chunk.first
                     host, domain, suffix = zip(*map(host_of, urls[at : at + chunk.n]), strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -136,22 +167,18 @@ def evidence(pages: DataFrame, names: list[str], logp: np.ndarray) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, SEEN)
 
 
-def _likelihoods(seen: DataFrame, column: str, total: int, n: int) -> dict[str, list[float]]:
-    """log P(value | language) by value; the entry "" + NUL is for values that aren't common."""
-    counts = seen.groupBy(column, "text_lang").agg(F.count("*").alias("n"))
-    whole = counts.groupBy(column).agg(F.sum("n").alias("m")).where(F.col("m") * 1_000_000 >= COMMON * total).select(F.col(column).alias("v"), F.lit(True).alias("common"))
-    joined = counts.join(whole, counts[column] == whole["v"], "left").groupBy(F.when(F.col("common"), F.col(column)).otherwise(F.lit("\0")).alias("v"), "text_lang").agg(F.sum("n").alias("n"))
-    rows = c.bounded_rows(joined, n * (1_000_000 // COMMON + 2), f"values of {column}")
-    out = {"\0": np.full(n, 0.5)}
-    for r in rows:
-        out.setdefault(r.v, np.full(n, 0.5))[r.text_lang] += r.n
-    whole_ = sum(out.values())
-    return {v: np.log(x / whole_).tolist() for v, x in out.items()}
+def _likelihoods(seen: DataFrame, column: str, n: int) -> DataFrame:
+    """A row per value of the column: log P(value | language) for each language, and how many pages have it."""
+    by = [F.sum(F.when(F.col("text_lang") == i, 1).otherwise(0)).cast("double").alias(f"n{i}") for i in range(n)]
+    counts = seen.groupBy(column).agg(*by, F.count("*").alias(f"{column}_pages"))
+    whole = counts.agg(F.count("*"), *[F.sum(f"n{i}") for i in range(n)]).first()
+    logs = [F.log((F.col(f"n{i}") + 0.5) / F.lit((whole[i + 1] or 0.0) + 0.5 * (whole[0] or 1))) for i in range(n)]
+    return counts.select(column, F.array(*logs).alias(f"by_{column}"), f"{column}_pages")
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, posterior, text_lang, declared, suffix, host, a row per page."""
-    spark, t = pages.sparkSession, c.Tables(pages.sparkSession)
+    t = c.Tables(pages.sparkSession)
     names, logp = train(docs)
     if not names:
         none = F.lit(None).cast("string")
@@ -159,12 +186,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     n = len(names)
     seen = t.cut(evidence(pages, names, logp))
     total = seen.count()
-    shared = spark.sparkContext.broadcast([_likelihoods(seen, x, total, n) for x in ("declared", "suffix")])
 
     def shares() -> list:
         return [F.sum(F.when(F.col("text_lang") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(n)]
 
-    by_host = t.cut(seen.groupBy("host", "domain", "text_lang").agg(F.count("*").alias("n")).groupBy("host", "domain").agg(*shares()))
+    by_host = t.cut(seen.groupBy("host", "domain", "text_lang").agg(F.count("*").alias("n")).groupBy("host", "domain").agg(*shares(), F.sum("n").alias("host_pages")))
     whole = by_host.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)) for i in range(n)]).first()
     top = [(x + 1) / (sum(whole) + n) for x in whole]
 
@@ -174,17 +200,16 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     by_domain = by_host.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)])
     by_domain = t.cut(by_domain.select("domain", *[x.alias(f"d{i}") for i, x in enumerate(smooth("n", [F.lit(x) for x in top]))]))
-    priors = by_host.join(by_domain, "domain")
-    priors = t.cut(priors.select("host", F.array(*[F.log(x) for x in smooth("n", [F.col(f"d{i}") for i in range(n)])]).alias("prior")))
+    hosts = by_host.agg(F.count("*")).first()[0]
+    in_domain = by_host.groupBy("domain").agg(F.count("*").alias("hosts"))
+    priors = c.split_join(by_host, by_domain.join(in_domain.hint("merge"), "domain"), ["domain"], "hosts", hosts)
+    priors = t.cut(priors.select("host", F.array(*[F.log(x) for x in smooth("n", [F.col(f"d{i}") for i in range(n)])]).alias("by_host"), "host_pages"))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_declared, by_suffix = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            score = b.column(5).flatten().to_numpy().reshape(-1, n) + b.column(6).flatten().to_numpy().reshape(-1, n)
-            for col, table in ((3, by_declared), (2, by_suffix)):
-                score = score + np.array([table.get(v, table["\0"]) for v in b.column(col).to_pylist()])
+            score = sum(b.column(i).flatten().to_numpy().reshape(-1, n) for i in range(5, 9))
             score -= score.max(1, keepdims=True)
             p = np.exp(score)
             p /= p.sum(1, keepdims=True)
@@ -195,6 +220,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
                 ["page_id", "lang", "posterior", "text_lang", "declared", "suffix", "host"],
             )
 
-    rows = seen.select("page_id", "host", "suffix", "declared", "text_lang", "loglik").join(priors, "host")
-    rows = rows.select("page_id", "host", "suffix", "declared", "text_lang", "loglik", "prior")
+    rows = seen.drop("domain")
+    for column, table in (("host", priors), ("declared", _likelihoods(seen, "declared", n)), ("suffix", _likelihoods(seen, "suffix", n))):
+        rows = c.split_join(rows, table, [column], f"{column}_pages", total).drop(f"{column}_pages")
+    rows = rows.select("page_id", "host", "suffix", "declared", "text_lang", "loglik", "by_host", "by_declared", "by_suffix")
     return rows.mapInArrow(fuse, "page_id long, lang string, posterior double, text_lang string, declared string, suffix string, host string")
