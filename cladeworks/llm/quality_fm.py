@@ -25,6 +25,7 @@ RANK = 8
 DENSE = 16
 TRAIN_ROWS = 4000
 THRESHOLD = 0.3
+TRAIN_WORDS = 4096
 EPOCHS = 8
 
 _CLASS = np.zeros(256, np.int64)  # 0 other symbols
@@ -54,7 +55,7 @@ def features(chunk: c.Chunk, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lines = np.bincount(text[chunk.buf == 10], minlength=chunk.n) + 1
     dense = np.stack(
         [
-            np.log1p(n), np.log1p(n_chars), (ends - starts).sum() * 0 + np.bincount(own, ends - starts, chunk.n) / some / 10, np.bincount(t, minlength=chunk.n) / some,
+            np.log1p(n), np.log1p(n_chars), np.bincount(own, ends - starts, chunk.n) / some / 10, np.bincount(t, minlength=chunk.n) / some,
             same / some, np.bincount(own[last == 0], minlength=chunk.n) / some, np.bincount(own[last == 5], minlength=chunk.n) / some, np.bincount(own[head == 2], minlength=chunk.n) / some,
             *(kinds[:, k] / letters for k in (0, 1, 2, 3, 5, 6)), np.log1p(n / lines), counts_max(t, counts, chunk.n) / some,
         ],
@@ -131,42 +132,45 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], epochs: in
     return m
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.select("text", F.coalesce(F.col("n_chars").cast("double"), F.length("text").cast("double"), F.lit(0.0)).alias("n"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """A machine for docs (doc_id, text, n_chars), with labels (doc_id, quality) outside the held-out fifth."""
+    """A machine for docs (doc_id, text, n_chars), with labels (doc_id, quality) outside the held-out fifth. Of rows that repeat a doc_id it
+    learns from one, the least by text hash, and the driver gets `rows` rows at most, with TRAIN_WORDS distinct words of each at most."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     sample = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = docs.select("doc_id", *[F.col(n) for n in ("text", "n_chars")]).join(sample, "doc_id")
-    texts = texts.select("doc_id", "label", *_inputs(texts).columns[:1], F.coalesce(F.col("n_chars").cast("double"), F.length("text").cast("double"), F.lit(0.0)).alias("n"))
+    n_chars = F.coalesce(F.col("n_chars").cast("double"), F.length("text").cast("double"), F.lit(0.0))
+    met = docs.select("doc_id", "text", n_chars.alias("n")).join(sample, "doc_id")
+    texts = met.select("doc_id", "label", "text", "n", F.xxhash64("text", "n").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in c.chunks(b.column(2)):
                 at = slice(chunk.first, chunk.first + chunk.n)
                 dense, t, word, x = features(chunk, b.column(3).to_numpy()[at])
+                few = np.arange(len(t)) - np.searchsorted(t, t) < TRAIN_WORDS
+                t, word, x = t[few], word[few], x[few]
                 counts = np.bincount(t, minlength=chunk.n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(chunk.first, chunk.n), b.column(1).slice(chunk.first, chunk.n), c.list_array(dense.ravel(), np.full(chunk.n, DENSE)), c.list_array(word.astype(np.int32), counts), c.list_array(x.astype(np.float32), counts)],
-                    ["doc_id", "label", "dense", "word", "x"],
+                    [b.column(0).slice(chunk.first, chunk.n), b.column(1).slice(chunk.first, chunk.n), b.column(4).slice(chunk.first, chunk.n), c.list_array(dense.ravel(), np.full(chunk.n, DENSE)), c.list_array(word.astype(np.int32), counts), c.list_array(x.astype(np.float32), counts)],
+                    ["doc_id", "label", "h", "dense", "word", "x"],
                 )
 
-    got = texts.mapInArrow(run, "doc_id long, label int, dense array<double>, word array<int>, x array<float>").toArrow()
+    one = texts.mapInArrow(run, "doc_id long, label int, h long, dense array<double>, word array<int>, x array<float>")
+    got = one.groupBy("doc_id").agg(F.min_by(F.struct("label", "dense", "word", "x"), "h").alias("r")).select("doc_id", "r.*").toArrow()
     ids, label, dense, word, x = (got[n].to_pylist() if n in ("doc_id", "label") else [v.values.to_numpy() for v in got[n]] for n in got.column_names)
     order = sorted(range(len(ids)), key=lambda i: (ids[i], dense[i].tobytes()))  # the same however rows arrive
     return train([(dense[i], word[i].astype(np.int64), x[i].astype(float), label[i]) for i in order])
 
 
 def score(docs: DataFrame, machine: Machine | None, out: str = "_score") -> DataFrame:
-    """All rows and columns of docs, with the probability of label 1."""
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    """All rows and columns of docs, with the probability of label 1. docs has text, and maybe n_chars."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    fields = list(plain.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    plain = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)])
-    text, chars = (docs.columns.index(n) for n in ("text", "n_chars"))
-    plain = plain.withColumn("n", F.coalesce(F.col(f"c{chars}").cast("double"), F.length(f"c{text}").cast("double"), F.lit(0.0)))
+    names = [n.lower() for n in docs.columns]
+    text = names.index("text")
+    chars = F.col(f"c{names.index('n_chars')}").cast("double") if "n_chars" in names else F.lit(None).cast("double")
+    plain = plain.withColumn("n", F.coalesce(chars, F.length(f"c{text}").cast("double"), F.lit(0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -191,4 +195,5 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    out = c.free_name(docs, "_score")
+    return score(docs, fit(docs, labels), out).where(F.col(out) >= THRESHOLD).select(*[f"`{n}`" for n in docs.columns])
