@@ -1,15 +1,15 @@
 """A corpus pipeline over documents: quality, repeated lines, near copies, benchmark leaks, mixture.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last one's rows are in the order of the
-mixture. A table that is read again doesn't keep that order, so run() has each document's place as columns mix_block, mix_slot and
-mix_position, and sorting by the last of them gives the mixture. Near copies are those of the default, five words and a similarity of 0.8 or more. Documents that hold a benchmark
-window go as a whole. No SQL can state the first stage, whose model is trained, so ORACLE_SQL is None; tests hold the stages
-against brute force.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever others there are.
+The last adds each document's place in the mixture as columns mix_block, mix_slot and mix_position, as a table that is read again doesn't
+keep the order of its rows: sorting by mix_position gives the mixture. Near copies are those of the default, five words and a similarity of 0.8 or
+more. Documents that hold a benchmark window go as a whole. No SQL can state the first stage, whose model is trained, so ORACLE_SQL is
+None; tests hold the stages against brute force.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cladeworks.llm import common, decontaminate, line_dedup, mixing, near_join, quality_fm
 
@@ -27,12 +27,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_leaks.hits") == 0).select(*docs.columns)
+    return decontaminate.stage(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.stage(docs)
+    return mixing.places(docs)
 
 
 STAGES = [("quality", quality), ("repeated_lines", repeated_lines), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("mixture", mixture)]
@@ -40,8 +39,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written as Parquet and read again by the next; the last with places in the mixture."""
+    """Applies the stages to documents, each written as Parquet and read again by the next."""
     docs, tables = common.table(spark, sf_dir, "documents"), common.Tables(spark)
-    for _, stage in STAGES[:-1]:
+    for _, stage in STAGES:
         docs = tables.cut(stage(spark, docs, sf_dir), drop=(docs,))
-    return tables.cut(mixing.places(docs), drop=(docs,))
+    return docs
