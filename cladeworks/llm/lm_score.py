@@ -2,7 +2,7 @@
 
 Two word-bigram models over one vocabulary, with the same smoothing: the background is counted over all documents, the target over those
 that labels mark with quality 1. Every word and every bigram has its own exact count, so the models grow with the corpus. They are a written
-table: a row a bigram, with its loss under both.
+table: a row a bigram, by a 64-bit key of its two words, with its own counts, its second word's and its first word's; losses are made of these.
 
 P(w | h) = (c(h, w) + K * P(w)) / (c(h) + K), P(w) = (c(w) + 1) / (N + V), over tokens and vocabulary, V counting one unknown
 word too. h starts as a mark. For each h the probabilities add up to 1. Words stand as 64-bit hashes. The target documents are scored like
@@ -10,8 +10,8 @@ all others, by models that count them.
 
 Scoring. The bigrams that are at least one in HEAD of the running bigrams of either corpus, of which there can be 2 HEAD at most, are broadcast,
 and what they add to a document's losses is summed on the spot. All others of a document go, counted within it, to meet their row of the
-table in a shuffle, in as many rounds as keep what is shuffled at once below the bytes of the texts. The result doesn't depend on
-HEAD or on the rounds. Bigrams in many documents are in the broadcast, so none of the others is hot.
+table in a shuffle, by key, in ROUNDS parts of all keys, so that only one part of both sides is shuffled at once. The result doesn't depend on
+HEAD or on ROUNDS. Bigrams in many documents are in the broadcast, so none of the others is hot.
 
 Words are runs of anything but ASCII white space, lower-cased over A-Z. Null or empty texts have no tokens and score 0. Labels that are
 null or have no document are ignored, repeated ones count once; rows that repeat a doc_id are counted and scored one by one.
@@ -24,11 +24,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common as c
 
 HEAD = 500_000
+ROUNDS = 4
 K = 50.0
 MERGE = 1 << 21
 MARK = np.uint64(0x1B873593CC9E2D51)
@@ -78,14 +79,14 @@ def _bigrams(chunk: c.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """h, w, t, b: how often each bigram occurs in target and background."""
+    """key, h, w, t, b: how often each bigram occurs in target and background."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     some = c.maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), good, ["doc_id"]).where("may").drop("may")
     target = some.join(good.hint("merge"), "doc_id", "left_semi").select("text", F.lit(True).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(2)
-        out = lambda p: pa.RecordBatch.from_arrays([pa.array(c.signed(x)) if x.dtype == np.uint64 else pa.array(x) for x in p[1:]], ["h", "w", "t", "b"])
+        out = lambda p: pa.RecordBatch.from_arrays([pa.array(c.signed(x)) if x.dtype == np.uint64 else pa.array(x) for x in p], ["key", "h", "w", "t", "b"])
         for b in batches:
             target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for chunk in c.chunks(b.column(0)):
@@ -101,28 +102,39 @@ def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield out(p)
 
     texts = docs.select("text", F.lit(False).alias("t")).union(target)
-    return texts.mapInArrow(run, "h long, w long, t long, b long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    found = texts.mapInArrow(run, "key long, h long, w long, t long, b long").groupBy("key")
+    return found.agg(F.first("h").alias("h"), F.first("w").alias("w"), F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
-def models(found: DataFrame) -> DataFrame:
-    """found (h, w, t, b), with each bigram's losses under target and background, lt and lb, and whether it's in the head."""
-    nt, nb = (x or 0 for x in found.agg(F.sum("t"), F.sum("b")).first())
-    word = found.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb"))
-    v = word.where("wb > 0").count() + 1
-    before = found.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("b").alias("hb"))
-    p = lambda n, total: K * (F.col(n) + 1) / F.lit(float(total + v))
-    rows = found.join(word.hint("merge"), "w").join(before.hint("merge"), "h")
-    loss = lambda n, w, h, total: F.log(F.col(h) + K) - F.log(F.col(n) + p(w, total))
-    head = (F.col("t") * HEAD >= max(1, nt)) | (F.col("b") * HEAD >= max(1, nb))
-    return rows.select("h", "w", loss("t", "wt", "ht", nt).alias("lt"), loss("b", "wb", "hb", nb).alias("lb"), head.alias("head"))
+class Models:
+    """The written table of counts (key, t, b, wt, wb, ht, hb), and the numbers that losses need besides: running words of both corpora, and of the
+    vocabulary with the unknown word."""
+
+    def __init__(self, found: DataFrame, tables: c.Tables):
+        self.nt, self.nb = (x or 0 for x in found.agg(F.sum("t"), F.sum("b")).first())
+        word = tables.cut(found.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")))
+        self.v = word.where("wb > 0").count() + 1
+        before = tables.cut(found.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("b").alias("hb")))
+        half = tables.cut(found.join(word.hint("merge"), "w").drop("w"), drop=(found, word))
+        self.rows = tables.cut(half.join(before.hint("merge"), "h").drop("h"), drop=(half, before))
+
+    def losses(self) -> tuple[Column, Column]:
+        """The loss of a row's bigram under target and background."""
+        out = []
+        for x, total in (("t", self.nt), ("b", self.nb)):
+            p = K * (F.col(f"w{x}") + 1) / F.lit(float(total + self.v))
+            out.append((F.log(F.col(f"h{x}") + K) - F.log(F.col(x) + p)).alias(f"l{x}"))
+        return out[0], out[1]
+
+    def is_head(self) -> Column:
+        return (F.col("t") * HEAD >= max(1, self.nt)) | (F.col("b") * HEAD >= max(1, self.nb))
 
 
 class Head:
     """Losses of the bigrams in the head by their key."""
 
     def __init__(self, rows: pa.Table):
-        h, w = (rows[n].to_numpy().view(np.uint64) for n in ("h", "w"))
-        key = c.mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+        key = rows["key"].to_numpy().view(np.uint64)
         by = np.argsort(key)
         self.keys, self.losses = key[by], np.stack([rows[n].to_numpy()[by] for n in ("lt", "lb")])
 
@@ -140,46 +152,40 @@ class Head:
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and score, their difference, a row per document."""
     tables = c.Tables(docs.sparkSession)
-    found = tables.cut(counts(docs, labels))
-    known = tables.cut(models(found), drop=(found,))
-    head = docs.sparkSession.sparkContext.broadcast(Head(known.where("head").select("h", "w", "lt", "lb").toArrow()))
-    schema = "doc_id long, n long, t double, b double, size long, h array<long>, w array<long>, k array<int>"
+    models = Models(tables.cut(counts(docs, labels)), tables)
+    head = docs.sparkSession.sparkContext.broadcast(Head(models.rows.where(models.is_head()).select("key", *models.losses()).toArrow()))
+    schema = "doc_id long, n long, t double, b double, keys array<long>, k array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in c.chunks(batch.column(1)):
-                h, w, key, first = _bigrams(chunk)
+                _, _, key, first = _bigrams(chunk)
                 own, at = c.owner(first), head.value.find(key)
                 inside = np.flatnonzero(at >= 0)
-                sums = [np.bincount(own[inside], x[at[inside]], chunk.n) for x in head.value.losses]
+                sums = [np.bincount(own[inside], x[at[inside]], chunk.n).astype(float) for x in head.value.losses]
                 rest = np.flatnonzero(at < 0)
                 rest = rest[np.lexsort((key[rest], own[rest]))]
                 new = np.concatenate((np.ones(min(1, len(rest)), bool), (key[rest[1:]] != key[rest[:-1]]) | (own[rest[1:]] != own[rest[:-1]])))
                 lead = np.flatnonzero(new)
                 k, rest = np.diff(np.append(lead, len(rest))), rest[lead]
                 n = np.bincount(own[rest], minlength=chunk.n)
-                lists = [c.list_array(x, n) for x in (c.signed(h[rest]), c.signed(w[rest]), k.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(first)), *map(pa.array, sums), pa.array(np.diff(chunk.offsets)), *lists], [x.split()[0] for x in schema.split(", ")])
+                lists = [c.list_array(x, n) for x in (c.signed(key[rest]), k.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.n), pa.array(np.diff(first)), *map(pa.array, sums), *lists], [x.split()[0] for x in schema.split(", ")])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     scored = tables.cut(scored.withColumn("rid", F.monotonically_increasing_id()))
-    size, left = (x or 0 for x in scored.agg(F.sum("size"), F.sum(F.size("h"))).first())
-    rounds = max(1, -(-28 * left // max(1, size)))
-    rest = known.where("NOT head").drop("head")
+    rest = models.rows.where(~models.is_head()).select("key", *models.losses())
     sums = []
-    for r in range(rounds if left else 0):
-        part = lambda df: df.where(F.pmod(F.xxhash64("h", "w"), F.lit(rounds)) == r) if rounds > 1 else df  # noqa: E731, B023
-        pairs = part(scored.select("rid", F.explode(F.arrays_zip("h", "w", "k")).alias("x")).select("rid", "x.h", "x.w", "x.k"))
-        met = pairs.join(part(rest).hint("merge"), ["h", "w"])
+    for r in range(ROUNDS):
+        mine = F.pmod(F.col("key"), F.lit(ROUNDS)) == r
+        pairs = scored.select("rid", F.explode(F.arrays_zip("keys", "k")).alias("x")).select("rid", F.col("x.keys").alias("key"), "x.k").where(mine)
+        met = pairs.join(rest.where(mine).hint("merge"), "key")
         sums.append(tables.cut(met.groupBy("rid").agg(F.sum(F.col("k") * F.col("lt")).alias("rt"), F.sum(F.col("k") * F.col("lb")).alias("rb"))))
     out = scored.select("rid", "doc_id", "n", "t", "b")
-    if sums:
-        every = reduce(DataFrame.union, sums)
-        out = out.join(every.groupBy("rid").agg(F.sum("rt").alias("rt"), F.sum("rb").alias("rb")).hint("merge"), "rid", "left")
-    else:
-        out = out.withColumn("rt", F.lit(0.0)).withColumn("rb", F.lit(0.0))
+    every = reduce(DataFrame.union, sums)
+    out = out.join(every.groupBy("rid").agg(F.sum("rt").alias("rt"), F.sum("rb").alias("rb")).hint("merge"), "rid", "left")
     loss = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0.0))) / F.greatest("n", F.lit(1))
-    out = tables.cut(out.select("doc_id", F.col("n").alias("n_tokens"), loss("t", "rt").alias("target_loss"), loss("b", "rb").alias("background_loss")), drop=(known, scored, *sums))
+    out = tables.cut(out.select("doc_id", F.col("n").alias("n_tokens"), loss("t", "rt").alias("target_loss"), loss("b", "rb").alias("background_loss")), drop=(models.rows, scored, *sums))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
