@@ -50,6 +50,7 @@ class Columns:
         self.down = np.zeros_like(self.up)
         root = np.stack([x.root for x in self.m.components])[:, None]
         self.around = np.zeros_like(self.up)  # at a node's parent: all but the node's own part
+        self.down_scale, self.own_root = np.zeros_like(self.scale), np.zeros_like(self.scale)  # the latter: likelihood of the connected part that a node is in
         for v in range(self.nodes - 1, -1, -1):
             q = self.parent[v]
             if q >= 0:
@@ -59,10 +60,16 @@ class Columns:
                     if k != v:
                         x = x * self.msg[k]
                 top = x.max(2, keepdims=True)
-                self.around[v] = x / np.where(top > 0, top, 1)
+                top = np.where(top > 0, top, 1)
+                self.around[v] = x / top
+                beside = sum(np.where(self.is_root[:, k], 0, self.scale[k]) for k in self.kids[q] if k != v)
+                fresh = self.is_root[:, v]
+                self.down_scale[v] = np.where(fresh, 0, self.down_scale[q] + np.log(top[:, :, 0]) + beside)
+                self.own_root[v] = np.where(fresh, self.of_root[v], self.own_root[q])
                 self.down[v] = np.where(self.is_root[:, v][None, :, None], root, np.einsum("cki,cij->ckj", self.around[v], self.p[:, v]))
             else:
                 self.down[v] = np.broadcast_to(root, self.up[v].shape)
+                self.own_root[v] = self.of_root[v]
 
     def posterior(self) -> np.ndarray:
         """P(state of node) for each node with a residue, zero elsewhere (nodes, columns, n)."""
@@ -71,6 +78,28 @@ class Columns:
             x = x / x.sum(3, keepdims=True)
         return np.where((self.tokens.T != GAP)[:, :, None], (x * self.component[None, :, :, None]).sum(1), 0.0)
 
+    def loglik_at(self, v: int) -> np.ndarray:
+        """The log likelihood of each column by the states of one node, from both passes; where the node has a gap, that of the column."""
+        with np.errstate(divide="ignore"):
+            part = np.log((self.up[v] * self.down[v]).sum(2)) + self.scale[v] + self.down_scale[v]
+        others = np.where(self.is_root.T[:, None], self.of_root, 0).sum(0) - self.own_root[v]
+        weighted = part + others + np.log([x.weight for x in self.m.components])[:, None]
+        top = weighted.max(0)
+        return np.where(self.tokens[:, v] == GAP, self.loglik, top + np.log(np.exp(weighted - top).sum(0)))
+
+    def excluded(self, v: int) -> np.ndarray:
+        """What all but v's clade says about the state of v's parent (columns, n), adding up to one; zero where the parent has a gap."""
+        x = (self.around[v] * self.component[:, :, None]).sum(0)
+        total = x.sum(1, keepdims=True)
+        return np.where((self.tokens[:, self.parent[v]] != GAP)[:, None] & (total > 0), x / np.where(total > 0, total, 1), 0.0)
+
+    def branch_posterior(self, v: int) -> np.ndarray:
+        """The joint posterior of the states of v's parent and v (columns, n, n); zero where either has a gap."""
+        live = (self.tokens[:, v] != GAP) & ~self.is_root[:, v]
+        x = self.around[v][:, :, :, None] * self.p[:, v][:, None] * self.up[v][:, :, None, :]
+        x = x / np.maximum(x.sum((2, 3), keepdims=True), 1e-300)
+        return np.where(live[:, None, None], (x * self.component[:, :, None, None]).sum(0), 0.0)
+
     def counts(self, weights: np.ndarray | None = None, eigen: bool = True) -> Counts:
         """Expected root, substitution and waiting counts of all columns, each counted weights times. With eigen, in the eigenbasis,
         transformed once at the end; else each pair of states and event by itself."""

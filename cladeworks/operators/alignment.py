@@ -1,8 +1,14 @@
-"""Alignment algebra on DataFrames. A long alignment has the columns (ds, node, col, sym), gaps absent; ds names the data set."""
+"""Alignment algebra on DataFrames. A long alignment has the columns (ds, node, col, sym), gaps absent; ds names the data set.
+
+Running counts along the columns of a data set are made by ranges of columns, so that one long alignment is dealt over tasks: see counted()."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import sequences as sq
+
+RANGE = 1 << 16
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,9 +31,53 @@ def concat(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select("ds", "node", F.concat(F.coalesce("ga", F.expr("repeat('-', coalesce(na, 0))")), F.coalesce("gb", F.expr("repeat('-', coalesce(nb, 0))"))).alias("gapped"))
 
 
+def counted(rows: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
+    """rows (keys, col, ...; one for each col) with running sums of flags along col, that row's own included. Each RANGE of column numbers is summed by
+    itself, and begins with the totals of the ranges before it: one row for each key and range, whose own running sum is small."""
+    part = F.expr(f"col div {RANGE}")
+    marked = rows.withColumn("_part", part)
+    for name, flag in flags.items():
+        marked = marked.withColumn(name, flag.cast("long"))
+    totals = marked.groupBy(*keys, "_part").agg(*[F.sum(n).alias(n) for n in flags])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*keys, "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in flags])
+    own = Window.partitionBy(*keys, "_part").orderBy("col")
+    out = marked.join(base, [*keys, "_part"])
+    for name in flags:
+        out = out.withColumn(name, F.sum(name).over(own) + F.col(f"_{name}"))
+    return out.drop("_part", *[f"_{n}" for n in flags])
+
+
+def residues(aln: DataFrame) -> DataFrame:
+    """(ds, node, residues) of the rows."""
+    return aln.groupBy("ds", "node").agg(F.count("*").alias("residues"))
+
+
+def has_gaps(gapped: DataFrame) -> DataFrame:
+    """Whether any row (ds, node, gapped) of a data set has a gap."""
+    return gapped.groupBy("ds").agg(F.bool_or(sq.has_gaps(F.col("gapped"))).alias("has_gaps"))
+
+
+def subalignment(gapped: DataFrame, first: int, n: int) -> DataFrame:
+    """n columns from the one numbered first, of rows (ds, node, gapped), and start: how many residues of the row come before them."""
+    g = F.col("gapped")
+    return gapped.select("ds", "node", sq.subalignment(g, first, n).alias("gapped"), sq.residues(sq.subalignment(g, 0, first)).alias("start"))
+
+
+def column(gapped: DataFrame, number: int) -> DataFrame:
+    """The cells of one column, in the order of nodes, by data set."""
+    cells = F.array_sort(F.collect_list(F.struct("node", sq.subalignment(F.col("gapped"), number, 1).alias("c"))))
+    return gapped.groupBy("ds").agg(F.array_join(F.transform(cells, lambda x: x["c"]), "").alias("cells"))
+
+
+def ordered(gapped: DataFrame, tree: DataFrame) -> DataFrame:
+    """Rows (ds, name, gapped) with the numbers of the tree's nodes (ds, node, name) that have their names; others are left out."""
+    return gapped.join(tree.select("ds", "node", "name"), ["ds", "name"]).select("ds", "node", "name", "gapped")
+
+
 def drop_empty(aln: DataFrame) -> DataFrame:
     """Renumbers columns 0, 1, ... over those with any residue. Numbers are ranks within a data set, over distinct columns only."""
-    used = aln.select("ds", "col").distinct().withColumn("new", F.row_number().over(Window.partitionBy("ds").orderBy("col")) - 1)
+    used = counted(aln.select("ds", "col").distinct(), ["ds"], {"new": F.lit(1)}).withColumn("new", F.col("new") - 1)
     return aln.join(used, ["ds", "col"]).select("ds", "node", F.col("new").alias("col"), "sym")
 
 
@@ -47,35 +97,41 @@ def ungapped_columns(aln: DataFrame, nodes: list[int]) -> DataFrame:
     return per.groupBy("ds").agg(F.count_if(F.col("n") < len(nodes)).alias("ragged")).withColumn("ungapped", F.col("ragged") == 0)
 
 
+def _steps(per: DataFrame, late: Column, kept: list[str], keys: list[str], lead: Column) -> DataFrame:
+    """Places (step, from 1) of columns sorted by their group, that of the last lead column at or before them, then late, then col. A column's step is
+    the number of columns in groups before its own, and of those of its group before it; only a group is in one window."""
+    per = counted(per, keys, {"g": lead})
+    size = per.groupBy(*keys, F.col("g").alias("col")).agg(F.count("*").alias("n"))
+    base = counted(size, keys, {"upto": F.col("n")}).select(*keys, F.col("col").alias("g"), (F.col("upto") - F.col("n")).alias("base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "g").orderBy(late, "col"))
+    return per.join(base, [*keys, "g"]).select(*keys, "col", *kept, "g", (F.col("base") + inside).alias("step"))
+
+
 def pair_columns(aln: DataFrame, a: int, b: int) -> DataFrame:
     """The pair path of two rows in order: moves M, I (only b) and D (only a), with insertions before deletions between matches."""
     per = aln.where(F.col("node").isin(a, b)).groupBy("ds", "col").agg(F.bool_or(F.col("node") == a).alias("x"), F.bool_or(F.col("node") == b).alias("y"))
     per = per.withColumn("move", F.when(F.col("x") & F.col("y"), "M").when(F.col("y"), "I").otherwise("D"))
-    group = F.sum((F.col("move") == "M").cast("long")).over(Window.partitionBy("ds").orderBy("col"))
-    per = per.withColumn("g", group).withColumn("late", F.when(F.col("move") == "M", 0).when(F.col("move") == "I", 1).otherwise(2))
-    return per.select("ds", "col", "move", F.row_number().over(Window.partitionBy("ds").orderBy("g", "late", "col")).alias("step"))
+    late = F.when(F.col("move") == "M", 0).when(F.col("move") == "I", 1).otherwise(2)
+    return _steps(per, late, ["move"], ["ds"], F.col("move") == "M").select("ds", "col", "move", "step")
 
 
 def triple_columns(aln: DataFrame, left: int, right: int, parent: int) -> DataFrame:
     """The path of two siblings and their parent, with columns of the left sibling alone last between columns of the parent."""
     per = aln.where(F.col("node").isin(left, right, parent)).groupBy("ds", "col").agg(*[F.bool_or(F.col("node") == n).alias(x) for n, x in ((left, "l"), (right, "r"), (parent, "p"))])
-    group = F.sum(F.col("p").cast("long")).over(Window.partitionBy("ds").orderBy("col"))
-    only = F.when(F.col("p"), 0).when(F.col("r"), 1).otherwise(2)
-    per = per.withColumn("g", group).withColumn("late", only)
     kind = F.concat(*[F.when(F.col(x), x.upper()).otherwise("-") for x in "lrp"])
-    return per.select("ds", "col", kind.alias("kind"), F.row_number().over(Window.partitionBy("ds").orderBy("g", "late", "col")).alias("step"))
+    late = F.when(F.col("p"), 0).when(F.col("r"), 1).otherwise(2)
+    return _steps(per.withColumn("kind", kind), late, ["kind"], ["ds"], F.col("p")).select("ds", "col", "kind", "step")
 
 
 def positions(aln: DataFrame) -> DataFrame:
     """Adds pos, the number of residues of the row before the column."""
-    return aln.withColumn("pos", F.row_number().over(Window.partitionBy("ds", "node").orderBy("col")) - 1)
+    return counted(aln, ["ds", "node"], {"pos": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
 
 
 def envelope(aln: DataFrame, a: int, b: int) -> DataFrame:
     """For each column with a residue of a or b: matches of the two before it and with it, and the positions in both rows."""
     per = aln.where(F.col("node").isin(a, b)).groupBy("ds", "col").agg(F.bool_or(F.col("node") == a).alias("x"), F.bool_or(F.col("node") == b).alias("y"))
-    run = lambda c: F.sum(c.cast("long")).over(Window.partitionBy("ds").orderBy("col"))
-    return per.select("ds", "col", run(F.col("x") & F.col("y")).alias("matches"), run(F.col("x")).alias("pos_a"), run(F.col("y")).alias("pos_b"))
+    return counted(per, ["ds"], {"matches": F.col("x") & F.col("y"), "pos_a": F.col("x"), "pos_b": F.col("y")}).select("ds", "col", "matches", "pos_a", "pos_b")
 
 
 def band_pairs(env: DataFrame, width: int) -> DataFrame:
@@ -104,9 +160,13 @@ def indel_counts(aln: DataFrame, edges: DataFrame) -> DataFrame:
     own = edges.select("parent", "node").join(present, "node").select("ds", "col", "parent", "node", F.lit(True).alias("y"))
     above = edges.select("parent", "node").join(present.withColumnRenamed("node", "parent"), "parent").select("ds", "col", "parent", "node", F.lit(True).alias("x"))
     per = own.join(above, ["ds", "col", "parent", "node"], "full").withColumn("move", F.when(F.col("x").isNull(), "I").when(F.col("y").isNull(), "D").otherwise("M"))
-    w = Window.partitionBy("ds", "node")
-    per = per.withColumn("g", F.sum((F.col("move") == "M").cast("long")).over(w.orderBy("col"))).withColumn("late", F.when(F.col("move") == "M", 0).when(F.col("move") == "I", 1).otherwise(2))
-    per = per.withColumn("was", F.coalesce(F.lag("move").over(w.orderBy("g", "late", "col")), F.lit("M")))
+    late = F.when(F.col("move") == "M", 0).when(F.col("move") == "I", 1).otherwise(2)
+    keys = ["ds", "parent", "node"]
+    steps = _steps(per, late, ["move"], keys, F.col("move") == "M")
+    # what a move follows: within a group of moves behind one match it's the move before; the first of a group follows the last of the one before
+    own = F.lag("move").over(Window.partitionBy(*keys, "g").orderBy("step"))
+    last = steps.groupBy(*keys, "g").agg(F.max_by("move", "step").alias("tail"))
+    per = steps.withColumn("own", own).join(last.select(*keys, (F.col("g") + 1).alias("g"), "tail"), [*keys, "g"], "left").withColumn("was", F.coalesce("own", "tail", F.lit("M")))
     n = lambda c: F.count_if(c)
     m, was = F.col("move"), F.col("was")
     return per.groupBy("ds", "parent", "node").agg(

@@ -39,7 +39,9 @@ def _tokens(column: pa.Array, model: Model, tree: Tree) -> np.ndarray:
     code = {s: i for i, s in enumerate(model.alphabet)}
     flat = column.flatten()
     node = flat.field("node").to_numpy(zero_copy_only=False)
-    sym = np.array([code.get(s, sumprod.WILD) for s in flat.field("sym").to_pylist()], np.int64)
+    coded = flat.field("sym").dictionary_encode()
+    known = np.array([code.get(s, sumprod.WILD) for s in coded.dictionary.to_pylist()] or [sumprod.WILD], np.int64)
+    sym = known[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
     out = np.full((len(column), len(tree.parent)), sumprod.GAP, np.int64)
     out[row, node] = sym
@@ -161,15 +163,59 @@ def indel_statistics(branches: DataFrame, model: Model, tree: Tree) -> np.ndarra
     return out
 
 
+def log_likelihoods_at(aln: DataFrame, model: Model, tree: Tree, node: int) -> DataFrame:
+    """(pattern, n, loglik) as seen from one node: the sum over its states of what lies below and around it. Where it has a residue it's that of the column."""
+
+    def emit(c: sumprod.Columns, tokens: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c.fill_down()
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.loglik_at(node))], ["pattern", "n", "loglik"])
+
+    return _kernel(patterns(aln), model, tree, emit, "pattern array<struct<node:int,sym:string>>, n long, loglik double")
+
+
+def excluded(aln: DataFrame, model: Model, tree: Tree, node: int) -> DataFrame:
+    """(pattern, n, sym, prob): what all but a node's clade says about its parent's state, in patterns where the parent has a residue."""
+
+    def emit(c: sumprod.Columns, tokens: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c.fill_down()
+        p = c.excluded(node)
+        row, s = np.nonzero((p > 0) & (tokens[:, tree.parent[node]] != sumprod.GAP)[:, None])
+        pick = pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array([model.alphabet[i] for i in s], pa.string()), pa.array(p[row, s])], ["pattern", "n", "sym", "prob"])
+
+    return _kernel(patterns(aln), model, tree, emit, "pattern array<struct<node:int,sym:string>>, n long, sym string, prob double")
+
+
+def branch_posteriors(aln: DataFrame, model: Model, tree: Tree, node: int) -> DataFrame:
+    """(pattern, n, parent_sym, sym, prob): the joint posterior of a branch's two ends, in patterns where both have a residue."""
+
+    def emit(c: sumprod.Columns, tokens: np.ndarray, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c.fill_down()
+        p = c.branch_posterior(node)
+        row, i, j = np.nonzero(p > 1e-12)
+        pick = pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), *(pa.array([model.alphabet[x] for x in xs], pa.string()) for xs in (i, j)), pa.array(p[row, i, j])], ["pattern", "n", "parent_sym", "sym", "prob"])
+
+    return _kernel(patterns(aln), model, tree, emit, "pattern array<struct<node:int,sym:string>>, n long, parent_sym string, sym string, prob double")
+
+
+def count(aln: DataFrame, model: Model, tree: Tree, branches: DataFrame | None = None) -> Counts:
+    """All expected counts of data sets that share a tree: root, substitution, waiting, and, with branches, those of indels."""
+    got = expected_counts(patterns(aln), model, tree)
+    return collect_counts(got, model, None if branches is None else indel_statistics(branches, model, tree))
+
+
 def fit(aln: DataFrame, model: Model, tree: Tree, *, iterations: int = 100, least_gain: float = 0.001, branches: DataFrame | None = None, fix_sub: bool = False, fix_indel: bool = True, pseudo: Counts | None = None) -> tuple[Model, list[float]]:
-    """EM on a fixed alignment: one Spark job for each E step over cached patterns; stops when the log likelihood gains at most least_gain of
-    its size. Gives the model and the log likelihoods."""
+    """EM on a fixed alignment: one Spark job for each E step over cached patterns; stops when the log likelihood, with the prior's if there are pseudocounts,
+    gains at most least_gain of its size. A likelihood of zero is an error. Gives the model and the log likelihoods with priors."""
     pats = patterns(aln).cache()
     trace: list[float] = []
     try:
         for _ in range(iterations):
             got = collect_counts(expected_counts(pats, model, tree), model, None if branches is None else indel_statistics(branches, model, tree))
-            trace.append(got.loglik)
+            if not np.isfinite(got.loglik):
+                raise ValueError("the alignment has no likelihood under the model")
+            trace.append(got.loglik + (0.0 if pseudo is None else pseudo.log_prior(model)))
             if len(trace) > 1 and trace[-1] - trace[-2] <= least_gain * abs(trace[-2]):
                 break
             model = (got if pseudo is None else got + pseudo).maximise(model, fix_sub=fix_sub, fix_indel=fix_indel or branches is None)

@@ -47,8 +47,20 @@ def all_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("ds", F.col("row").alias("row1")).join(rows.select("ds", F.col("row").alias("row2")), "ds").where("row1 < row2")
 
 
-def aligned_pairs(seqs: DataFrame, pairs: DataFrame, model: Model, t: float = 1.0) -> DataFrame:
-    """Viterbi alignments (ds, row1, row2, score, gapped1, gapped2) of pairs of sequences, dealt out evenly by pair."""
+def sparse_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """(ds, row1, row2): a random connected graph of some n log2 n pairs of each data set's n rows. The draws depend on the seed and the rows alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ds, own = table.column(0), sorted(table.column(1).to_pylist())
+        edges = pairdp.sparse_graph(len(own), seed)
+        return pa.table({"ds": pa.array([ds[0].as_py()] * len(edges), ds.type), "row1": pa.array([own[a] for a, _ in edges], pa.int64()), "row2": pa.array([own[b] for _, b in edges], pa.int64())})
+
+    return rows.select("ds", F.col("row").cast("long").alias("row")).groupBy("ds").applyInArrow(run, f"ds {rows.schema['ds'].dataType.simpleString()}, row1 long, row2 long")
+
+
+def aligned_pairs(seqs: DataFrame, pairs: DataFrame, model: Model, t: float = 1.0, diagonals: DataFrame | None = None) -> DataFrame:
+    """Viterbi alignments (ds, row1, row2, score, gapped1, gapped2) of pairs of sequences, dealt out evenly by pair. With diagonals (ds, row1, row2, diag) a pair
+    that has some is aligned between the least and the greatest of them, in memory of one row for each; others are aligned in full."""
     alphabet, sub, gaps = model.alphabet, pairdp.log_odds(model, t), pairdp.gap_scores(model, t)
     code = {s: i for i, ch in enumerate(alphabet) for s in (ch.lower(), ch.upper())} | {s: i for i, s in enumerate(alphabet)}
 
@@ -56,7 +68,13 @@ def aligned_pairs(seqs: DataFrame, pairs: DataFrame, model: Model, t: float = 1.
         tokens = lambda s: np.array([code.get(x, -2) for x in s], np.int64)
         for b in batches:
             out = []
-            texts = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True))
+            every = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True))
+            done: dict[int, tuple] = {}
+            for i, (s1, s2, least, most) in enumerate(every):
+                if least is not None:
+                    score, path = pairdp.viterbi_banded(tokens(s1), tokens(s2), sub, gaps, least, most)
+                    done[i] = (score, *pairdp.gapped(s1, s2, path))
+            texts = [x[:2] for i, x in enumerate(every) if i not in done]
             lo = 0
             while lo < len(texts):  # as many pairs in step as CELLS of back pointers allow
                 hi, n, m = lo, 0, 0
@@ -66,53 +84,66 @@ def aligned_pairs(seqs: DataFrame, pairs: DataFrame, model: Model, t: float = 1.
                 for (s1, s2), (score, path) in zip(some, pairdp.viterbi_batch([tokens(s[0]) for s in some], [tokens(s[1]) for s in some], sub, gaps), strict=True):
                     out.append((score, *pairdp.gapped(s1, s2, path)))
                 lo = hi
+            rest = iter(out)
+            out = [done[i] if i in done else next(rest) for i in range(len(every))]
             score, g1, g2 = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score, pa.float64()), pa.array(g1, pa.string()), pa.array(g2, pa.string())], ["ds", "row1", "row2", "score", "gapped1", "gapped2"])
 
     one = lambda n: seqs.select("ds", F.col("row").alias(f"row{n}"), F.coalesce("seq", F.lit("")).alias(f"seq{n}"))
-    rows = pairs.join(one(1), ["ds", "row1"]).join(one(2), ["ds", "row2"]).select("ds", "row1", "row2", "seq1", "seq2").repartition("ds", "row1", "row2")
+    rows = pairs.join(one(1), ["ds", "row1"]).join(one(2), ["ds", "row2"])
+    if diagonals is None:
+        rows = rows.withColumn("least", F.lit(None).cast("long")).withColumn("most", F.lit(None).cast("long"))
+    else:
+        ends = diagonals.groupBy("ds", "row1", "row2").agg(F.min("diag").cast("long").alias("least"), F.max("diag").cast("long").alias("most"))
+        rows = rows.join(ends, ["ds", "row1", "row2"], "left")
+    rows = rows.select("ds", "row1", "row2", "seq1", "seq2", "least", "most").repartition("ds", "row1", "row2")
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     return rows.mapInArrow(run, f"ds {kinds['ds']}, row1 {kinds['row1']}, row2 {kinds['row2']}, score double, gapped1 string, gapped2 string")
 
 
 def spanning_trees(scored: DataFrame) -> DataFrame:
-    """The maximum spanning tree of each data set's scored pairs."""
+    """The maximum spanning tree of each data set's scored pairs: (ds, row1, row2, score, k), row1 < row2, k the order in which edges join."""
 
     def run(table: pa.Table) -> pa.Table:
         ds, a, b, w = (table.column(i).to_pylist() for i in range(4))
         rows = sorted({*a, *b})
         number = {r: i for i, r in enumerate(rows)}
-        edges = pairdp.spanning_tree(len(rows), [(number[x], number[y], z) for x, y, z in zip(a, b, w, strict=True)])
-        return pa.table({"ds": pa.array([ds[0]] * len(edges), table.schema.field(0).type), "row1": pa.array([rows[e[0]] for e in edges], pa.int64()), "row2": pa.array([rows[e[1]] for e in edges], pa.int64()), "score": [e[2] for e in edges]})
+        edges = [(*sorted(e[:2]), e[2]) for e in pairdp.spanning_tree(len(rows), [(number[x], number[y], z) for x, y, z in zip(a, b, w, strict=True)])]
+        return pa.table({"ds": pa.array([ds[0]] * len(edges), table.schema.field(0).type), "row1": pa.array([rows[e[0]] for e in edges], pa.int64()), "row2": pa.array([rows[e[1]] for e in edges], pa.int64()), "score": pa.array([e[2] for e in edges], pa.float64()), "k": pa.array(range(len(edges)), pa.int64())})
 
     rows = scored.select("ds", F.col("row1").cast("long").alias("row1"), F.col("row2").cast("long").alias("row2"), "score")
-    return rows.groupBy("ds").applyInArrow(run, f"ds {scored.schema['ds'].dataType.simpleString()}, row1 long, row2 long, score double")
+    return rows.groupBy("ds").applyInArrow(run, f"ds {scored.schema['ds'].dataType.simpleString()}, row1 long, row2 long, score double, k long")
 
 
-def guide_alignments(aligned: DataFrame) -> DataFrame:
-    """The guide alignment (ds, row, gapped) of each data set: the pair alignments along its maximum spanning tree, merged."""
+def guide_alignments(scored: DataFrame, seqs: DataFrame, model: Model, t: float = 1.0, diagonals: DataFrame | None = None) -> DataFrame:
+    """The guide alignment (ds, row, gapped) of each data set: the pair alignments along the maximum spanning tree of its scored pairs, merged. Only the
+    tree's n - 1 pairs are aligned once more and go to a data set's task."""
+    edges = spanning_trees(scored)
+    aligned = aligned_pairs(seqs, edges.select("ds", "row1", "row2"), model, t, diagonals)
+    return merged(aligned.join(edges.select("ds", "row1", "row2", "k"), ["ds", "row1", "row2"]))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """One alignment (ds, row, gapped) of each data set from pair alignments (ds, row1, row2, gapped1, gapped2, k) that connect its rows: columns with a
+    residue in common are one, those of parts of smaller k first. Parts that contradict each other are an error."""
 
     def run(table: pa.Table) -> pa.Table:
-        ds, a, b, w, g1, g2 = (table.column(i).to_pylist() for i in range(6))
+        ds, a, b, g1, g2, k = (table.column(i).to_pylist() for i in range(6))
         rows = sorted({*a, *b})
         number = {r: i for i, r in enumerate(rows)}
-        got = {(number[x], number[y]): (p, q) for x, y, p, q in zip(a, b, g1, g2, strict=True)}
-        edges = pairdp.spanning_tree(len(rows), [(number[x], number[y], z) for x, y, z in zip(a, b, w, strict=True)])
         parts, text = [], {}
-        for x, y, _ in edges:
-            i, j = min(x, y), max(x, y)
-            pair = dict(zip((i, j), got[i, j], strict=True))
-            text |= {k: v.replace("-", "") for k, v in pair.items()}
-            parts.append({k: np.array([ch != "-" for ch in v], bool) for k, v in pair.items()})
-        merged = pairdp.merge(parts)
+        for _, x, y, p, q in sorted(zip(k, a, b, g1, g2, strict=True)):
+            pair = {number[x]: p, number[y]: q}
+            text |= {r: v.replace("-", "") for r, v in pair.items()}
+            parts.append({r: np.array([ch != "-" for ch in v], bool) for r, v in pair.items()})
         out = {}
-        for k, bits in merged.items():
-            residues = iter(text[k])
-            out[k] = "".join(next(residues) if bit else "-" for bit in bits)
-        return pa.table({"ds": pa.array([ds[0]] * len(out), table.schema.field(0).type), "row": pa.array([rows[k] for k in sorted(out)], pa.int64()), "gapped": [out[k] for k in sorted(out)]})
+        for r, bits in pairdp.merge(parts).items():
+            residues = iter(text[r])
+            out[r] = "".join(next(residues) if bit else "-" for bit in bits)
+        return pa.table({"ds": pa.array([ds[0]] * len(out), table.schema.field(0).type), "row": pa.array([rows[r] for r in sorted(out)], pa.int64()), "gapped": [out[r] for r in sorted(out)]})
 
-    rows = aligned.select("ds", F.col("row1").cast("long").alias("row1"), F.col("row2").cast("long").alias("row2"), "score", "gapped1", "gapped2")
-    return rows.groupBy("ds").applyInArrow(run, f"ds {aligned.schema['ds'].dataType.simpleString()}, row long, gapped string")
+    rows = parts.select("ds", F.col("row1").cast("long").alias("row1"), F.col("row2").cast("long").alias("row2"), "gapped1", "gapped2", "k")
+    return rows.groupBy("ds").applyInArrow(run, f"ds {parts.schema['ds'].dataType.simpleString()}, row long, gapped string")
 
 
 def pair_counts(aln: DataFrame) -> DataFrame:
@@ -133,33 +164,39 @@ def jukes_cantor(counts: DataFrame, size: int, most: float = 10.0, least: float
 
 
 def ml_distances(counts: DataFrame, model: Model, most: float = 10.0, least: float = 1e-9, tolerance: float = 0.01) -> DataFrame:
-    """Maximum likelihood distances under a model: a scan for a bracket, then golden section."""
+    """Maximum likelihood distances under a model: a scan over a grid for a bracket, then golden section; all pairs of a batch in step. Where most of the
+    grid is as good, as without shared columns, the least distance is taken."""
     m, code = model.with_eigen(), {s: i for i, s in enumerate(model.alphabet)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golden = (5**0.5 - 1) / 2
+        grid = np.concatenate(([least], np.geomspace(1e-4, most, 40)))
+
+        def log_joint(t: np.ndarray) -> np.ndarray:
+            """log P(a, b) at each of some times (times, n, n)."""
+            p = sum(c.weight * c.root[None, :, None] * np.clip(((e.right[None] * np.exp(e.values * t[:, None])[:, None, :]) @ e.left[None]).real, 0, 1) for c, e in zip(m.components, m.eigen, strict=True))
+            return np.log(np.maximum(p, 1e-300))
+
+        on_grid = log_joint(grid)
         for b in batches:
-            out = []
-            for cells in b.column(3).to_pylist():
-                n = np.zeros((len(code), len(code)))
-                for x in cells:
-                    n[code[x["sym1"]], code[x["sym2"]]] += x["n"]
-
-                def loss(t: float, n: np.ndarray = n) -> float:
-                    with np.errstate(divide="ignore"):
-                        p = sum(c.weight * c.root[:, None] * q for c, q in zip(m.components, m.probs(t), strict=True))
-                        return -float(np.where(n > 0, n * np.log(np.maximum(p, 1e-300)), 0).sum())
-
-                grid = np.concatenate(([least], np.geomspace(1e-4, most, 40)))
-                i = int(np.argmin([loss(t) for t in grid]))
-                lo, hi = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
-                for _ in range(100):
-                    if hi - lo <= tolerance * hi:
-                        break
-                    a, z = hi - golden * (hi - lo), lo + golden * (hi - lo)
-                    lo, hi = (lo, z) if loss(a) <= loss(z) else (a, hi)
-                out.append((lo + hi) / 2 if n.sum() else least)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.float64())], ["ds", "node1", "node2", "t"])
+            n = np.zeros((b.num_rows, len(code), len(code)))
+            cells = b.column(3)
+            flat = cells.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(cells.offsets.to_numpy()))
+            s1, s2 = (np.array([code[x] for x in flat.field(f).to_pylist()], np.int64) for f in ("sym1", "sym2"))
+            np.add.at(n, (row, s1, s2), flat.field("n").to_numpy(zero_copy_only=False))
+            gain = np.einsum("bij,gij->bg", n, on_grid)
+            i = gain.argmax(1)
+            lo, hi = grid[np.maximum(0, i - 1)], grid[np.minimum(len(grid) - 1, i + 1)]
+            of = lambda t: np.einsum("bij,bij->b", n, log_joint(t))  # noqa: E731, B023
+            for _ in range(100):
+                if (hi - lo <= tolerance * hi).all():
+                    break
+                a, z = hi - golden * (hi - lo), lo + golden * (hi - lo)
+                left = of(a) >= of(z)
+                lo, hi = np.where(left, lo, a), np.where(left, z, hi)
+            out = np.where(n.sum((1, 2)) > 0, (lo + hi) / 2, least)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out)], ["ds", "node1", "node2", "t"])
 
     rows = counts.groupBy("ds", "node1", "node2").agg(F.collect_list(F.struct("sym1", "sym2", "n")).alias("cells"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from ..functions import sequences as sq
 from ..operators import alignment as al, pairs, trees
 from . import base as b
 
@@ -36,7 +37,7 @@ def _(spark, d):
 
 @query("aln02_residues", f"WITH {b.ALN_SQL} SELECT node, CAST(count(*) AS BIGINT) AS residues FROM aln GROUP BY 1")
 def _(spark, d):
-    return b.alignment(spark, d).groupBy("node").agg(F.count("*").alias("residues"))
+    return al.residues(b.alignment(spark, d)).select("node", "residues")
 
 
 @query("aln03_union", f"WITH {b.ALN_SQL} SELECT node, sym, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM aln WHERE node < 4 UNION ALL SELECT * FROM aln WHERE node >= 4) GROUP BY 1, 2")
@@ -53,14 +54,14 @@ def _(spark, d):
     return al.concat(g.where("node % 3 < 2").withColumn("gapped", F.substring("gapped", 1, 20)), g.where("node % 3 > 0").withColumn("gapped", F.expr("substring(gapped, 21)")))
 
 
-@query("aln06_drop_empty", f"WITH {b.ALN_SQL}, s AS (SELECT * FROM aln WHERE node IN (8, 9)) SELECT col, CAST(node AS INT) AS node, sym FROM (SELECT CAST(dense_rank() OVER (ORDER BY col) - 1 AS INT) AS col, node, sym FROM s)")
+@query("aln06_drop_empty", f"WITH {b.ALN_SQL} SELECT CAST(dense_rank() OVER (ORDER BY col) - 1 AS BIGINT) AS col, CAST(node AS INT) AS node, sym FROM aln")
 def _(spark, d):
-    return al.drop_empty(b.alignment(spark, d).where("node IN (8, 9)")).select("col", "node", "sym")
+    return al.drop_empty(b.alignment(spark, d)).select("col", "node", "sym")
 
 
 @query("aln07_has_gaps", f"WITH {_ROWS} SELECT ds, bool_or(contains(gapped, '-')) AS has_gaps FROM g GROUP BY 1")
 def _(spark, d):
-    return _gapped(spark, d).groupBy("ds").agg(F.bool_or(F.contains(F.col("gapped"), F.lit("-"))).alias("has_gaps"))
+    return al.has_gaps(_gapped(spark, d))
 
 
 @query("aln08_ensure_rows", f"WITH {_ROWS}, w AS (SELECT ds, max(length(gapped)) AS n FROM g GROUP BY 1) SELECT g.ds, g.node, CASE WHEN g.node % 2 = 0 THEN gapped ELSE repeat('-', n) END AS gapped FROM g JOIN w USING (ds)")
@@ -83,14 +84,14 @@ def _(spark, d):
 
 
 @query("aln11_pair_path", f"""WITH {b.ALN_SQL}, pr AS (SELECT col, bool_or(node = 0) AS x, bool_or(node = 1) AS y FROM aln WHERE node IN (0, 1) GROUP BY 1), m AS (SELECT col, CASE WHEN x AND y THEN 'M' WHEN y THEN 'I' ELSE 'D' END AS move FROM pr),
-g AS (SELECT *, sum(CAST(move = 'M' AS INT)) OVER (ORDER BY col) AS g FROM m) SELECT col, move, CAST(row_number() OVER (ORDER BY g, CASE move WHEN 'M' THEN 0 WHEN 'I' THEN 1 ELSE 2 END, col) AS INT) AS step FROM g""")
+g AS (SELECT *, sum(CAST(move = 'M' AS INT)) OVER (ORDER BY col) AS g FROM m) SELECT col, move, CAST(row_number() OVER (ORDER BY g, CASE move WHEN 'M' THEN 0 WHEN 'I' THEN 1 ELSE 2 END, col) AS BIGINT) AS step FROM g""")
 def _(spark, d):
     return al.pair_columns(b.alignment(spark, d), 0, 1).drop("ds")
 
 
 @query("aln12_triple_path", f"""WITH {b.ALN_SQL}, pr AS (SELECT col, bool_or(node = 0) AS l, bool_or(node = 1) AS r, bool_or(node = 3) AS p FROM aln WHERE node IN (0, 1, 3) GROUP BY 1),
 g AS (SELECT *, sum(CAST(p AS INT)) OVER (ORDER BY col) AS g FROM pr) SELECT col, CASE WHEN l THEN 'L' ELSE '-' END || CASE WHEN r THEN 'R' ELSE '-' END || CASE WHEN p THEN 'P' ELSE '-' END AS kind,
-CAST(row_number() OVER (ORDER BY g, CASE WHEN p THEN 0 WHEN r THEN 1 ELSE 2 END, col) AS INT) AS step FROM g""")
+CAST(row_number() OVER (ORDER BY g, CASE WHEN p THEN 0 WHEN r THEN 1 ELSE 2 END, col) AS BIGINT) AS step FROM g""")
 def _(spark, d):
     return al.triple_columns(b.alignment(spark, d), 0, 1, 3).drop("ds")
 
@@ -106,7 +107,7 @@ def _(spark, d):
     return al.ungapped_columns(b.alignment(spark, d), [0, 1, 3]).drop("ds")
 
 
-@query("aln15_positions", f"WITH {b.ALN_SQL} SELECT col, CAST(node AS INT) AS node, CAST(row_number() OVER (PARTITION BY node ORDER BY col) - 1 AS INT) AS pos FROM aln")
+@query("aln15_positions", f"WITH {b.ALN_SQL} SELECT col, CAST(node AS INT) AS node, CAST(row_number() OVER (PARTITION BY node ORDER BY col) - 1 AS BIGINT) AS pos FROM aln")
 def _(spark, d):
     return al.positions(b.alignment(spark, d)).select("col", "node", "pos")
 
@@ -121,9 +122,27 @@ def _(spark, d):
     return al.bijective(b.table(spark, d, "customer").select(F.col("c_custkey").alias("name")), b.table(spark, d, "orders").select(F.col("o_custkey").alias("name")).distinct())
 
 
-@query("aln18_subalign", f"WITH {_ROWS} SELECT ds, node, substr(gapped, 5, 12) AS gapped, CAST(length(replace(left(gapped, 4), '-', '')) AS INT) AS start FROM g WHERE node % 2 = 1")
+@query("aln18_subalign", f"WITH {_ROWS} SELECT ds, node, substr(gapped, 5, 12) AS gapped, CAST(length(replace(left(gapped, 4), '-', '')) AS INT) AS start FROM g")
 def _(spark, d):
-    return _gapped(spark, d).where("node % 2 = 1").select("ds", "node", F.substring("gapped", 5, 12).alias("gapped"), F.length(F.replace(F.substring("gapped", 1, 4), F.lit("-"), F.lit(""))).alias("start"))
+    return al.subalignment(_gapped(spark, d), 4, 12)
+
+
+@query("aln18b_column", f"WITH {_ROWS} SELECT ds, string_agg(substr(gapped, 8, 1), '' ORDER BY node) AS cells FROM g GROUP BY 1")
+def _(spark, d):
+    return al.column(_gapped(spark, d), 7)
+
+
+@query("aln05_merge", f"WITH {b.FAMILY_SQL} SELECT row, seq AS residues FROM fam")
+def _(spark, d):
+    """Pair alignments of each row with the next, merged: residues must come through in order."""
+    fam = b.family(spark, d)
+    w = Window.partitionBy("ds").orderBy("row")
+    rows = fam.withColumn("n", F.row_number().over(w).cast("long"))
+    pair = rows.select("ds", F.col("n").alias("row1"), (F.col("n") + 1).alias("row2"), F.col("seq").alias("s1"), F.lead("seq").over(w).alias("s2"), F.col("n").alias("k")).where("s2 IS NOT NULL")
+    wide = F.greatest(F.length("s1"), F.length("s2"))
+    flush = pair.select("ds", "row1", "row2", F.rpad("s1", wide, "-").alias("gapped1"), F.rpad("s2", wide, "-").alias("gapped2"), "k")
+    merged = pairs.merged(flush).select(F.col("row").alias("n"), sq.ungap(F.col("gapped")).alias("residues"))
+    return rows.select("row", "n").join(merged, "n").select("row", "residues")
 
 
 _UP = f"""{b.TREE_SQL}, up(node, ancestor, hops, dist) AS (SELECT node, node, 0, CAST(0 AS DOUBLE) FROM tree UNION ALL SELECT u.node, t.parent, u.hops + 1, u.dist + t.blen FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent >= 0)"""
@@ -201,9 +220,10 @@ def _(spark, d):
     return t.select(F.col("node1").alias("i"), F.col("node2").alias("j"), "t").union(t.select("node2", "node1", "t"))
 
 
-@query("dst03_ml_distances")
+@query("dst03_ml_distances", f"WITH {_JC_SQL} SELECT CAST(node1 AS INT) AS node1, CAST(node2 AS INT) AS node2, round(t, 3) AS t FROM jc")
 def _(spark, d):
-    return pairs.ml_distances(pairs.pair_counts(b.alignment(spark, d)), b.JC3).select("node1", "node2", F.round("t", 6).alias("t"))
+    """Under equal rates the closed form is the maximum."""
+    return pairs.ml_distances(pairs.pair_counts(b.alignment(spark, d)), b.JC3, tolerance=1e-6).select("node1", "node2", F.round("t", 3).alias("t"))
 
 
 def _centroids(spark, d):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from ..kernels import recon
 from ..kernels.model import Model
-from ..operators import alignment as al, counting, pairs, simulation
+from ..operators import alignment as al, counting, pairs, rates, reconstruction, simulation, workflow
 from . import base as b
 
 Q: dict = {}
@@ -50,22 +51,19 @@ def _exchange(spark, d):
 @query("src15_exchangeabilities", f"WITH {_RATES_SQL}, q AS (SELECT r.i, r.j, s * b.p AS q, a.p AS pi FROM r JOIN pi a ON a.i = r.i JOIN pi b ON b.i = r.j) SELECT i, j, round(q / (SELECT sum(q * pi) FROM q), 9) AS rate FROM q")
 def _(spark, d):
     s, pi = _exchange(spark, d)
-    q = s.join(pi, "i").join(pi.select(F.col("i").alias("j"), F.col("p").alias("pj")), "j").select("i", "j", (F.col("s") * F.col("pj")).alias("q"), "p")
-    whole = q.agg(F.sum(F.col("q") * F.col("p")).alias("whole"))
-    return q.join(F.broadcast(whole)).select("i", "j", F.round(F.col("q") / F.col("whole"), 9).alias("rate"))
+    return rates.normalised(rates.exchangeable(s, pi), pi).select("i", "j", F.round("rate", 9).alias("rate"))
 
 
 @query("mod05_expected_rate", f"WITH {_RATES_SQL} SELECT round(sum(s * p), 6) AS rate, round(1 / (1 - 0.66), 6) AS indel_length FROM r JOIN pi USING (i)")
 def _(spark, d):
     s, pi = _exchange(spark, d)
-    return s.join(pi, "i").agg(F.round(F.sum(F.col("s") * F.col("p")), 6).alias("rate")).withColumn("indel_length", F.round(F.lit(1 / (1 - 0.66)), 6))
+    return rates.expected_rate(s.withColumnRenamed("s", "rate"), pi).select(F.round("whole", 6).alias("rate"), F.round(rates.indel_length(0.66), 6).alias("indel_length"))
 
 
 @query("mod06_normalised", f"WITH {_RATES_SQL} SELECT i, j, round(s / (SELECT sum(s * p) FROM r JOIN pi USING (i)), 9) AS rate FROM r")
 def _(spark, d):
     s, pi = _exchange(spark, d)
-    whole = s.join(pi, "i").agg(F.sum(F.col("s") * F.col("p")).alias("whole"))
-    return s.join(F.broadcast(whole)).select("i", "j", F.round(F.col("s") / F.col("whole"), 9).alias("rate"))
+    return rates.normalised(s.withColumnRenamed("s", "rate"), pi).select("i", "j", F.round("rate", 9).alias("rate"))
 
 
 @query("mod07_transitions", f"""WITH {b.TREE_SQL}, p AS (SELECT node, 1 - exp(-0.3 * blen) AS i, 1 - exp(-0.2 * blen) AS d, CAST(0.6 AS DOUBLE) AS x, CAST(0.5 AS DOUBLE) AS y FROM tree WHERE parent >= 0),
@@ -79,8 +77,8 @@ def _(spark, d):
 
 @query("mod12_decay_wait", "SELECT l_orderkey AS k, round(sum(1 / l_quantity - l_discount / (exp(l_quantity * l_discount) - 1)), 5) AS wait FROM lineitem WHERE l_discount > 0 GROUP BY 1")
 def _(spark, d):
-    r, t = F.col("l_quantity"), F.col("l_discount")
-    return b.table(spark, d, "lineitem").where("l_discount > 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum(1 / r - t / (F.exp(r * t) - 1)), 5).alias("wait"))
+    wait = rates.decay_wait(F.col("l_quantity"), F.col("l_discount"))
+    return b.table(spark, d, "lineitem").where("l_discount > 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum(wait), 5).alias("wait"))
 
 
 def _pruning() -> str:
@@ -128,18 +126,90 @@ def _(spark, d):
     return counting.by_column(a, best).select("col", "sym")
 
 
-@query("sum16_posteriors")
+def _around() -> str:
+    """Messages both ways along every branch, as CTEs: g{u}_{w} is what lies on u's side of the branch to w, for each state of u, and m{u}_{w} the same
+    for each state of w; and pres, the nodes that have a residue in a column: leaves with one, and inner nodes with residues on two sides."""
+    near: dict[int, dict[int, float]] = {n: {} for n, *_ in b.NODES}
+    for n, p, _, t in b.NODES:
+        if p >= 0:
+            near[n][p] = near[p][n] = t
+    leaves = set(b.LEAF.values())
+    out, done = [f"{b.ALN_SQL}, {_STATES}, cols AS (SELECT DISTINCT col FROM aln)"], set()
+
+    def beyond(u: int, w: int) -> list[int]:
+        """Leaves on u's side."""
+        return [u] if u in leaves else [x for k in near[u] if k != w for x in beyond(k, u)]
+
+    def message(u: int, w: int) -> None:
+        if (u, w) in done:
+            return
+        done.add((u, w))
+        others = [k for k in near[u] if k != w]
+        for k in others:
+            message(k, u)
+        if u in leaves:
+            out.append(f"g{u}_{w} AS (SELECT c.col, st.s, CASE WHEN a.sym IS NULL OR a.sym = st.s THEN CAST(1 AS DOUBLE) ELSE 0 END AS f FROM cols c CROSS JOIN st LEFT JOIN aln a ON a.col = c.col AND a.node = {u})")
+        else:
+            joins = " ".join(f"JOIN m{k}_{u} ON m{k}_{u}.col = c.col AND m{k}_{u}.s = st.s" for k in others)
+            out.append(f"g{u}_{w} AS (SELECT c.col, st.s, {' * '.join(f'm{k}_{u}.m' for k in others)} AS f FROM cols c CROSS JOIN st {joins})")
+        out.append(f"m{u}_{w} AS (SELECT f.col, st.s, sum({_P.format(i='st.s', j='f.s', t=f'CAST({near[u][w]} AS DOUBLE)')} * f.f) AS m FROM g{u}_{w} f CROSS JOIN st GROUP BY 1, 2)")
+
+    for u in near:
+        for w in near[u]:
+            message(u, w)
+    sides = {n: [beyond(k, n) for k in near[n]] for n in near if n not in leaves}
+    has = lambda some: f"bool_or(node IN ({', '.join(map(str, some))}))"
+    inner = " UNION ALL ".join(f"SELECT col, {n} AS node FROM aln GROUP BY 1 HAVING {' + '.join(f'CAST({has(x)} AS INT)' for x in some)} > 1" for n, some in sides.items())
+    out.append(f"pres AS (SELECT col, node FROM aln UNION ALL {inner})")
+    parts = []
+    for n in near:
+        joins = " ".join(f"JOIN m{k}_{n} ON m{k}_{n}.col = c.col AND m{k}_{n}.s = st.s" for k in near[n])
+        leaf = f"LEFT JOIN aln a ON a.col = c.col AND a.node = {n}" if n in leaves else ""
+        own = "(CASE WHEN a.sym IS NULL OR a.sym = st.s THEN 1 ELSE 0 END) * " if n in leaves else ""
+        parts.append(f"SELECT c.col, {n} AS node, st.s, {own}{' * '.join(f'm{k}_{n}.m' for k in near[n])} / 3 AS f FROM cols c CROSS JOIN st {joins} {leaf}")
+    out.append(f"joint AS ({' UNION ALL '.join(parts)})")
+    out.append("post AS (SELECT j.col, j.node, j.s, f / sum(f) OVER (PARTITION BY j.col, j.node) AS p, sum(f) OVER (PARTITION BY j.col, j.node) AS z FROM joint j JOIN pres USING (col, node))")
+    return ", ".join(out)
+
+
+_AROUND = _around()
+_INNER = ", ".join(str(n) for n, *_ in b.NODES if n not in b.LEAF.values())
+
+
+def _events() -> str:
+    """Expected events of each branch: those of its ends' states, whose joint posterior comes from both sides' messages. The integral over the branch is a closed
+    form under equal rates."""
+    parts = []
+    for n, p, _, t in b.NODES:
+        if p >= 0:
+            pr = _P.format(i="x.s", j="y.s", t=f"CAST({t} AS DOUBLE)")
+            parts.append(f"SELECT x.col, {n} AS node, CAST({t} AS DOUBLE) AS t, x.s AS a, y.s AS b, x.f * y.f AS w, x.f * y.f * {pr} AS f FROM g{p}_{n} x JOIN g{n}_{p} y ON x.col = y.col JOIN pres v ON v.col = x.col AND v.node = {n} JOIN pres q ON q.col = x.col AND q.node = {p}")
+    d = "(CASE WHEN {x} = {y} THEN 2 / CAST(3 AS DOUBLE) ELSE -1 / CAST(3 AS DOUBLE) END)"
+    al, be = d.format(x="e.a", y="i.s"), d.format(x="j.s", y="e.b")
+    inner = f"(t / 9 + ({al} + {be}) / 3 * (1 - exp(-1.5 * t)) / 1.5 + {al} * {be} * t * exp(-1.5 * t))"
+    return f"""ends AS ({' UNION ALL '.join(parts)}), e AS (SELECT t, a, b, sum(w / z) AS share FROM (SELECT *, sum(f) OVER (PARTITION BY col, node) AS z FROM ends) GROUP BY 1, 2, 3),
+ev AS (SELECT i.s AS i, j.s AS j, sum(share * {inner}) AS n FROM e CROSS JOIN st i CROSS JOIN st j GROUP BY 1, 2)"""
+
+
+_TOPS = "tops AS (SELECT pres.col, pres.node FROM pres JOIN tree ON tree.node = pres.node LEFT JOIN pres q ON q.col = pres.col AND q.node = tree.parent WHERE q.node IS NULL)"
+_COUNTS_SQL = f"""WITH {b.TREE_SQL}, {_AROUND}, {_events()}, {_TOPS}
+SELECT 'root' AS kind, s AS i, '' AS j, round(sum(p), 4) AS value FROM post JOIN tops USING (col, node) GROUP BY s
+UNION ALL SELECT CASE WHEN i = j THEN 'wait' ELSE 'sub' END, i, CASE WHEN i = j THEN '' ELSE j END, round(CASE WHEN i = j THEN n ELSE n / 2 END, 4) FROM ev
+UNION ALL SELECT 'loglik', '', '', round(sum(ln(z)), 4) FROM (SELECT DISTINCT col, node, z FROM post JOIN tops USING (col, node))"""
+
+
+@query("sum16_posteriors", f"WITH {_AROUND} SELECT CAST(node AS INT) AS node, s AS sym, round(sum(p), 4) AS expected, CAST(count(*) AS BIGINT) AS n FROM post WHERE node IN ({_INNER}) AND p >= 0.01 GROUP BY 1, 2")
 def _(spark, d):
     a = b.alignment(spark, d)
     return counting.posteriors(a, b.JC3, b.TREE).groupBy("node", "sym").agg(F.round(F.sum(F.col("prob") * F.col("n")), 4).alias("expected"), F.sum("n").alias("n"))
 
 
-@query("sum10_expected_counts")
+@query("sum10_expected_counts", _COUNTS_SQL)
 def _(spark, d):
     return counting.expected_counts(counting.patterns(b.alignment(spark, d)), b.JC3, b.TREE).select("kind", "i", "j", F.round("value", 4).alias("value"))
 
 
-@query("sum09_direct_counts")
+@query("sum09_direct_counts", _COUNTS_SQL)
 def _(spark, d):
     return counting.expected_counts(counting.patterns(b.alignment(spark, d)), b.JC3, b.TREE, eigen=False).select("kind", "i", "j", F.round("value", 4).alias("value"))
 
@@ -178,14 +248,14 @@ def _(spark, d):
 @query("fit01_m_step", f"WITH {_TRAJ} SELECT sub.i, sub.j, round(n / w, 9) AS rate FROM sub JOIN wait USING (i)")
 def _(spark, d):
     sub, wait = _trajectories(spark, d)
-    return sub.join(wait.select("i", F.col("value").alias("w")), "i").select("i", "j", F.round(F.col("value") / F.col("w"), 9).alias("rate"))
+    return rates.maximised(sub.union(wait)).select("i", "j", F.round("rate", 9).alias("rate"))
 
 
 @query("fit03_expected_log_likelihood", f"WITH {_TRAJ}, x AS (SELECT i, j, n, w, n / w AS r FROM sub JOIN wait USING (i)) SELECT round((SELECT sum(n * ln(r)) FROM x) - (SELECT sum(r * w) FROM x), 2) AS ell FROM range(1)")
 def _(spark, d):
     sub, wait = _trajectories(spark, d)
-    x = sub.join(wait.select("i", F.col("value").alias("w")), "i").withColumn("r", F.col("value") / F.col("w"))
-    return x.agg(F.round(F.sum(F.col("value") * F.log("r")) - F.sum(F.col("r") * F.col("w")), 2).alias("ell"))
+    counts = sub.union(wait)
+    return rates.expected_loglik(counts, rates.maximised(counts)).select(F.round("loglik", 2).alias("ell"))
 
 
 @query("fit04_em")
@@ -218,7 +288,7 @@ def _(spark, d):
 
 @query("pair14_guide_alignment")
 def _(spark, d):
-    return pairs.guide_alignments(_aligned(spark, d)).select("row", "gapped")
+    return pairs.guide_alignments(_aligned(spark, d), b.family(spark, d), _FAMILY_MODEL).select("row", "gapped")
 
 
 @query("sim03_simulate")
@@ -237,20 +307,17 @@ def _ratios(spark, d):
 
 @query("sim04_rmse", f"WITH {_RATIO_SQL} SELECT method, round(avg(r), 6) AS mean, round(sqrt(avg(r * r) - 2 * avg(r) + 1), 6) AS rmse FROM x GROUP BY 1")
 def _(spark, d):
-    return _ratios(spark, d).groupBy("method").agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.sqrt(F.avg(F.col("r") * F.col("r")) - 2 * F.avg("r") + 1), 6).alias("rmse"))
+    return rates.summary(_ratios(spark, d)).select("method", F.round("mean", 6).alias("mean"), F.round("rmse", 6).alias("rmse"))
 
 
 @query("sim05_quartiles", f"WITH {_RATIO_SQL}, k AS (SELECT method, r, row_number() OVER (PARTITION BY method ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY method) AS n FROM x) SELECT method, round(max(r) FILTER (k = n // 4), 6) AS q1, round(max(r) FILTER (k = n // 2), 6) AS median, round(max(r) FILTER (k = 3 * n // 4), 6) AS q3 FROM k GROUP BY 1")
 def _(spark, d):
-    w = Window.partitionBy("method")
-    k = _ratios(spark, d).withColumn("k", F.row_number().over(w.orderBy("r")) - 1).withColumn("n", F.count("*").over(w))
-    pick = lambda e, name: F.round(F.max(F.when(F.expr(f"k = {e}"), F.col("r"))), 6).alias(name)
-    return k.groupBy("method").agg(pick("n div 4", "q1"), pick("n div 2", "median"), pick("3 * n div 4", "q3"))
+    return rates.quartiles(_ratios(spark, d)).select("method", *[F.round(x, 6).alias(x) for x in ("q1", "median", "q3")])
 
 
 @query("sim05_histogram", f"WITH {_RATIO_SQL} SELECT method, CAST(round(r / 0.1) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY 1, 2")
 def _(spark, d):
-    return _ratios(spark, d).groupBy("method", F.round(F.col("r") / 0.1).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return rates.histogram(_ratios(spark, d), 0.1)
 
 
 @query("mod09_gamma_rates")
@@ -259,3 +326,23 @@ def _(spark, d):
     return spark.createDataFrame([(i, float(c.weight), round(float(-c.rate[0, 0]), 6)) for i, c in enumerate(m.components)], "cpt int, weight double, rate double")
 
 
+_FLAGS = Model.jukes_cantor("ANR", insrate=0.1, delrate=0.1, insext=0.5, delext=0.5)
+
+
+@query("dp04_forward")
+def _(spark, d):
+    """Each order's return flags, in the order of lines, as a short sequence; each customer's consecutive orders as a pair."""
+    lines = b.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]), "").alias("seq"))
+    orders = b.table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pair = orders.select(F.lit(0).alias("ds"), F.col("o_orderkey").alias("row1"), F.lead("o_orderkey").over(w).alias("row2"), F.col("seq").alias("seq1"), F.lead("seq").over(w).alias("seq2")).where("row2 IS NOT NULL")
+    found = reconstruction.forward_scores(pair, _FLAGS, 0.3, 0.4)
+    return found.select("row1", "row2", F.round("loglik", 6).alias("loglik"), F.round("best_loglik", 6).alias("best_loglik"), "matches")
+
+
+@query("dp19_recon")
+def _(spark, d):
+    """The whole way from sequences to a history: pairs, guide, distances, tree, progressive reconstruction."""
+    seqs = b.family(spark, d).select("ds", F.col("row").cast("string").alias("name"), "seq")
+    got = workflow.reconstructed(seqs, _FAMILY_MODEL, recon.Options(samples=4), sparse=True)
+    return got.select("node", "name", "gapped", F.round("loglik", 4).alias("loglik"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import sequences as sq
 from ..operators import pairs
@@ -52,7 +52,7 @@ def _(spark, d):
 
 @query("snk09_convert_wildcards", "SELECT doc_id AS row, md5(translate(coalesce(text, ''), '?x', '*n')) AS text_md5 FROM documents")
 def _(spark, d):
-    return b.table(spark, d, "documents").select(F.col("doc_id").alias("row"), F.md5(F.translate(F.coalesce("text", F.lit("")), "?x", "*n").cast("binary")).alias("text_md5"))
+    return b.table(spark, d, "documents").select(F.col("doc_id").alias("row"), F.md5(sq.convert_wildcards(F.coalesce("text", F.lit("")), "?x", "*n").cast("binary")).alias("text_md5"))
 
 
 @query("scl01_tokenize", "SELECT token, CAST(count(*) AS BIGINT) AS n, CAST(sum(row) AS BIGINT) AS rows_sum FROM (SELECT doc_id AS row, CASE WHEN instr('acgt', c) > 0 THEN instr('acgt', c) - 1 WHEN instr('ACGT', c) > 0 THEN instr('ACGT', c) - 1 ELSE -1 END AS token FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), '')) AS c FROM documents)) GROUP BY 1")
@@ -96,14 +96,13 @@ def _(spark, d):
     return three[0].join(three[1]).join(three[2]).select(token.alias("token"), F.concat("x0", "x1", "x2").alias("codon"), F.substring(F.lit(sq.GENETIC_CODE), token + 1, F.lit(1)).alias("aa"))
 
 
-@query("scl08_translate", f"""WITH {b.SEQS_SQL}, {_CODON_SQL}, f AS (SELECT row, frame, upper(substr(seq, CAST(frame + 1 AS INT))) AS s FROM seqs, range(0, 3) r(frame)),
+@query("scl08_translate", f"""WITH {b.SEQS_SQL}, {_CODON_SQL}, f AS (SELECT row, frame, upper(substr(CASE WHEN frame < 0 THEN reverse(translate(seq, 'acgt', 'tgca')) ELSE seq END, CAST(CASE WHEN frame < 0 THEN -frame ELSE frame + 1 END AS INT))) AS s FROM seqs, range(-3, 3) r(frame)),
 i AS (SELECT row, frame, s, unnest(range(0, length(s) // 3)) AS i FROM f)
 SELECT row, frame, md5(string_agg(aa, '' ORDER BY i)) AS protein_md5, CAST(count(*) AS BIGINT) AS n FROM i JOIN codons ON codon = substr(s, 3 * i + 1, 3) GROUP BY 1, 2""")
 def _(spark, d):
-    s = b.sequences(spark, d)
-    parts = [s.select("row", F.lit(f).cast("long").alias("frame"), sq.translated(F.col("seq"), f).alias("p")) for f in range(3)]
-    all_ = parts[0].union(parts[1]).union(parts[2]).where("p <> ''")
-    return all_.select("row", "frame", F.md5(F.col("p").cast("binary")).alias("protein_md5"), F.length("p").cast("long").alias("n"))
+    frames = F.array(*[F.struct(F.lit(f).cast("long").alias("frame"), sq.translated(F.col("seq"), f).alias("p")) for f in range(-3, 3)])
+    rows = b.sequences(spark, d).select("row", F.explode(frames).alias("x")).select("row", "x.*").where("p <> ''")
+    return rows.select("row", "frame", F.md5(F.col("p").cast("binary")).alias("protein_md5"), F.length("p").cast("long").alias("n"))
 
 
 @query("scl09_gaps", "SELECT doc_id AS row, CAST(length(text) - length(replace(replace(text, '-', ''), '.', '')) AS BIGINT) AS gaps, CAST(length(text) - length(replace(text, '*', '')) AS BIGINT) AS wildcards FROM documents")
@@ -111,12 +110,27 @@ def _(spark, d):
     return b.table(spark, d, "documents").select(F.col("doc_id").alias("row"), (F.length("text") - F.length(sq.ungap(F.col("text")))).cast("long").alias("gaps"), (F.length("text") - F.length(F.replace("text", F.lit("*"), F.lit("")))).cast("long").alias("wildcards"))
 
 
-@query("scl10_alphabet_check", f"""WITH {b.SEQS_SQL}, c AS (SELECT row, unnest(string_split(left(lower(source), 8), '')) AS ch FROM (SELECT doc_id AS row, source FROM documents))
-SELECT row, CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT ch) AS BIGINT) AS repeats, count(*) = count(DISTINCT ch) AS valid FROM c GROUP BY 1""")
+@query("src04_nexus_rows", "SELECT doc_id AS row, md5(translate(coalesce(text, ''), '?', '*')) AS internal_md5, md5(translate(coalesce(text, ''), '*', '?')) AS nexus_md5 FROM documents")
 def _(spark, d):
-    c = F.split(F.substring(F.lower("source"), 1, 8), "")
-    n, u = F.size(c).cast("long"), F.size(F.array_distinct(c)).cast("long")
-    return b.table(spark, d, "documents").where("source IS NOT NULL").select(F.col("doc_id").alias("row"), n.alias("n"), (n - u).alias("repeats"), (n == u).alias("valid"))
+    text = F.coalesce("text", F.lit(""))
+    return b.table(spark, d, "documents").select(F.col("doc_id").alias("row"), F.md5(sq.nexus_to_internal(text).cast("binary")).alias("internal_md5"), F.md5(sq.internal_to_nexus(text).cast("binary")).alias("nexus_md5"))
+
+
+_WORDS = ["a", "an", "and", "the", "th", "e", "er", " ", "ing"]
+
+
+@query("scl04_extended_tokens", "SELECT c.token, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '(?s) |a|e|th|ing|.')) AS t FROM benchmark) x JOIN (SELECT * FROM (VALUES ('a', 0), ('th', 4), ('e', 5), (' ', 7), ('ing', 8)) v(s, token)) c ON c.s = x.t GROUP BY 1")
+def _(spark, d):
+    t = b.table(spark, d, "benchmark").select(F.explode(sq.extended_tokens(F.coalesce("text", F.lit("")), _WORDS)).alias("token"))
+    return t.where("token >= 0").groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("scl10_alphabet_check", """WITH c AS (SELECT doc_id AS row, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(source), '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2)
+SELECT d.doc_id AS row, CAST(length(source) AS BIGINT) AS n, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (n > 1 OR ch IN ('-', '.')), '') AS problems, coalesce(count(ch) FILTER (n > 1 OR ch IN ('-', '.')), 0) = 0 AS valid
+FROM documents d LEFT JOIN c ON c.row = d.doc_id WHERE source IS NOT NULL GROUP BY d.doc_id, source""")
+def _(spark, d):
+    wrong = sq.alphabet_problems(F.lower("source"))
+    return b.table(spark, d, "documents").where("source IS NOT NULL").select(F.col("doc_id").alias("row"), F.length("source").cast("long").alias("n"), F.array_join(wrong, "").alias("problems"), (F.size(wrong) == 0).alias("valid"))
 
 
 @query("scl11_kmer_codes", f"""WITH {b.SEQS_SQL}, p AS (SELECT seq, unnest(range(1, length(seq) - 4)) AS p FROM seqs), k AS (SELECT substr(seq, p, 6) AS k FROM p WHERE p <= length(seq) - 5), n AS (SELECT k, count(*) AS n FROM k GROUP BY 1)
@@ -134,8 +148,9 @@ def _(spark, d):
 
 @query("scl13_log_inner_product", "SELECT l_orderkey AS k, round(ln(sum(exp(-l_discount) * exp(-l_tax) * exp(-l_quantity / 50))), 6) AS lip FROM lineitem GROUP BY 1")
 def _(spark, d):
-    rows = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(-F.col("l_discount") - F.col("l_tax") - F.col("l_quantity") / 50).alias("xs"))
-    return rows.select("k", F.round(sq.log_sum_exp(F.col("xs")), 6).alias("lip"))
+    lists = [F.collect_list(-F.col(n) / k).alias(n) for n, k in (("l_discount", 1), ("l_tax", 1), ("l_quantity", 50))]
+    rows = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(*lists)
+    return rows.select("k", F.round(sq.log_inner_product(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")), 6).alias("lip"))
 
 
 @query("scl15_xlogy", "SELECT l_orderkey AS k, round(sum(CASE WHEN l_tax = 0 THEN 0 ELSE l_tax * ln(l_quantity) END), 6) AS v FROM lineitem GROUP BY 1")
@@ -171,7 +186,8 @@ def _(spark, d):
 @query("pair01_kmer_index", f"""WITH {b.SEQS_SQL}, p AS (SELECT row, seq, unnest(range(1, length(seq) - 6)) AS p FROM seqs), k AS (SELECT row, p - 1 AS pos, substr(seq, p, 8) AS kmer FROM p WHERE p <= length(seq) - 7)
 SELECT kmer, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT row) AS BIGINT) AS n_rows, CAST(min(pos) AS BIGINT) AS first FROM k GROUP BY 1""")
 def _(spark, d):
-    return pairs.kmer_index(b.sequences(spark, d), 8).groupBy("kmer").agg(F.count("*").alias("n"), F.countDistinct("row").alias("n_rows"), F.min("pos").cast("long").alias("first"))
+    by_row = pairs.kmer_index(b.sequences(spark, d), 8).groupBy("kmer", "row").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return by_row.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"), F.min("first").cast("long").alias("first"))
 
 
 _HITS_SQL = f"""{b.FAMILY_SQL}, p AS (SELECT row, seq, unnest(range(1, length(seq) - 4)) AS p FROM fam), k AS (SELECT row, p, substr(seq, p, 6) AS kmer FROM p WHERE p <= length(seq) - 5),
@@ -203,3 +219,14 @@ def _(spark, d):
 @query("pair09_all_pairs", "SELECT a.item_id AS row1, b.item_id AS row2 FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id")
 def _(spark, d):
     return pairs.all_pairs(b.family(spark, d)).select("row1", "row2")
+
+
+@query("pair10_sparse_pairs", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(least(count(*) * (count(*) - 1) // 2, ceil(count(*) * log2(count(*)))) AS BIGINT) AS n_pairs, true AS connected FROM benchmark")
+def _(spark, d):
+    """The random graph itself has no SQL: what is compared is its size, and that the tree of its pairs reaches every row."""
+    rows = b.family(spark, d)
+    n = rows.withColumn("row", F.row_number().over(Window.partitionBy("ds").orderBy("row")).cast("long"))
+    edges = pairs.sparse_pairs(n, 7)
+    tree = pairs.spanning_trees(edges.withColumn("score", F.lit(1.0)))
+    size = edges.agg(F.count("*").alias("n_pairs"))
+    return rows.agg(F.count("*").alias("n_rows")).join(size).join(tree.agg(F.count("*").alias("n_edges"))).select("n_rows", "n_pairs", (F.col("n_edges") == F.col("n_rows") - 1).alias("connected"))
