@@ -67,7 +67,7 @@ class Patterns:
         self.first = first[by][new].astype(np.int32)
         self.item, self.items_at = item[fresh].astype(np.int32), np.append(np.flatnonzero(new[fresh]), fresh.sum()).astype(np.int32)
         self.bits = int(np.clip(int(8 * len(self.first)).bit_length(), *TABLE_BITS))
-        shift = np.full(1 << self.bits, length - self.block + 1, np.int16)
+        shift = np.full(1 << self.bits, length - self.block + 1, np.uint8 if length < 256 else np.int32)
         for end in range(self.block, length + 1):
             np.minimum.at(shift, self.key(hashes, self.first + end - 1), length - end)
         last = self.key(hashes, self.first + length - 1)
@@ -97,7 +97,7 @@ class Patterns:
         at, keys = [], []
         while len(pos):
             key = self.key(h, pos)
-            step = self.shift[key]
+            step = self.shift[key].astype(np.int64)
             stop = step == 0
             at.append(pos[stop])
             keys.append(key[stop])
@@ -121,10 +121,11 @@ class Block:
         self.names = sorted({i for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.names)}
         column = pa.array([t for _, t in items], pa.large_string())
-        data, starts, ends, first, size, of = [], [], [], [], 0, []
+        data, starts, ends, first, size, of, hashes = [], [], [], [], 0, [], []
         for chunk in c.chunks(column):
             s, e, f = chunk.spans(c.alnum_words())
             data.append(c.LOWER[chunk.buf])
+            hashes.append(c.span_hashes(chunk.buf, s, e, True))
             first.append(f[:-1] + sum(map(len, starts)))
             starts.append(s + size)
             ends.append(e + size)
@@ -135,7 +136,7 @@ class Block:
             return
         buf = np.concatenate(data)
         starts, ends, first = np.concatenate(starts), np.concatenate(ends), np.append(np.concatenate(first), sum(map(len, starts)))
-        hashes = c.span_hashes(buf, starts, ends, False)
+        hashes = np.concatenate(hashes)
         n = np.diff(first)
         for m in np.unique(np.minimum(n, window)).tolist():
             if m:
