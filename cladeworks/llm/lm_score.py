@@ -115,8 +115,8 @@ class Models:
         word = tables.cut(found.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("b").alias("wb")))
         self.v = word.where("wb > 0").count() + 1
         before = tables.cut(found.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("b").alias("hb")))
-        half = tables.cut(found.join(word.hint("merge"), "w").drop("w"), drop=(found, word))
-        self.rows = tables.cut(half.join(before.hint("merge"), "h").drop("h"), drop=(half, before))
+        half = tables.cut(found.join(word.hint("shuffle_hash"), "w").drop("w"), drop=(found, word))
+        self.rows = tables.cut(half.join(before.hint("shuffle_hash"), "h").drop("h"), drop=(half, before))
 
     def losses(self) -> tuple[Column, Column]:
         """The loss of a row's bigram under target and background."""
@@ -179,7 +179,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for r in range(ROUNDS):
         mine = F.pmod(F.col("key"), F.lit(ROUNDS)) == r
         pairs = scored.select("rid", F.explode(F.arrays_zip("keys", "k")).alias("x")).select("rid", F.col("x.keys").alias("key"), "x.k").where(mine)
-        met = pairs.join(rest.where(mine).hint("merge"), "key")
+        met = pairs.join(rest.where(mine).hint("shuffle_hash"), "key")
         sums.append(tables.cut(met.groupBy("rid").agg(F.sum(F.col("k") * F.col("lt")).alias("rt"), F.sum(F.col("k") * F.col("lb")).alias("rb"))))
     out = scored.select("rid", "doc_id", "n", "t", "b")
     every = reduce(DataFrame.union, sums)
