@@ -80,10 +80,10 @@ class Columns:
 
     def loglik_at(self, v: int) -> np.ndarray:
         """The log likelihood of each column by the states of one node, from both passes; where the node has a gap, that of the column."""
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             part = np.log((self.up[v] * self.down[v]).sum(2)) + self.scale[v] + self.down_scale[v]
-        others = np.where(self.is_root.T[:, None], self.of_root, 0).sum(0) - self.own_root[v]
-        weighted = part + others + np.log([x.weight for x in self.m.components])[:, None]
+            others = np.where(self.is_root.T[:, None], self.of_root, 0).sum(0) - self.own_root[v]
+            weighted = part + others + np.log([x.weight for x in self.m.components])[:, None]
         top = weighted.max(0)
         return np.where(self.tokens[:, v] == GAP, self.loglik, top + np.log(np.exp(weighted - top).sum(0)))
 

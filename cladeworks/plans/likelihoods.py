@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..kernels import recon
 from ..kernels.model import Model
-from ..operators import alignment as al, counting, pairs, rates, reconstruction, simulation, workflow
+from ..operators import alignment as al, chains, counting, pairs, rates, reconstruction, simulation, workflow
 from . import base as b
 
 Q: dict = {}
@@ -198,6 +198,26 @@ UNION ALL SELECT CASE WHEN i = j THEN 'wait' ELSE 'sub' END, i, CASE WHEN i = j
 UNION ALL SELECT 'loglik', '', '', round(sum(ln(z)), 4) FROM (SELECT DISTINCT col, node, z FROM post JOIN tops USING (col, node))"""
 
 
+@query("sum04_at_node", f"WITH {_UP}, {_ROOT} SELECT col, round(ln(z), 6) AS loglik FROM root")
+def _(spark, d):
+    """The column's likelihood as seen from node 4 is that seen from the root."""
+    a = b.alignment(spark, d)
+    return counting.by_column(a, counting.log_likelihoods_at(a, b.JC3, b.TREE, 4)).select("col", F.round("loglik", 6).alias("loglik"))
+
+
+@query("sum06_excluded", f"WITH {_AROUND} SELECT g.col, g.s AS sym, round(g.f / sum(g.f) OVER (PARTITION BY g.col), 6) AS prob FROM g4_2 g JOIN pres ON pres.col = g.col AND pres.node = 4")
+def _(spark, d):
+    a = b.alignment(spark, d)
+    return counting.by_column(a, counting.excluded(a, b.JC3, b.TREE, 2)).select("col", "sym", F.round("prob", 6).alias("prob"))
+
+
+@query("sum07_branch_posterior", f"""WITH {_AROUND}, ab AS (SELECT x.col, x.s AS a, y.s AS c, x.f * y.f * {_P.format(i='x.s', j='y.s', t='CAST(0.15 AS DOUBLE)')} AS f FROM g4_2 x JOIN g2_4 y ON x.col = y.col JOIN pres v ON v.col = x.col AND v.node = 2 JOIN pres q ON q.col = x.col AND q.node = 4)
+SELECT col, a AS parent_sym, c AS sym, round(f / sum(f) OVER (PARTITION BY col), 6) AS prob FROM ab""")
+def _(spark, d):
+    a = b.alignment(spark, d)
+    return counting.by_column(a, counting.branch_posteriors(a, b.JC3, b.TREE, 2)).select("col", "parent_sym", "sym", F.round("prob", 6).alias("prob"))
+
+
 @query("sum16_posteriors", f"WITH {_AROUND} SELECT CAST(node AS INT) AS node, s AS sym, round(sum(p), 4) AS expected, CAST(count(*) AS BIGINT) AS n FROM post WHERE node IN ({_INNER}) AND p >= 0.01 GROUP BY 1, 2")
 def _(spark, d):
     a = b.alignment(spark, d)
@@ -346,3 +366,27 @@ def _(spark, d):
     seqs = b.family(spark, d).select("ds", F.col("row").cast("string").alias("name"), "seq")
     got = workflow.reconstructed(seqs, _FAMILY_MODEL, recon.Options(samples=4), sparse=True)
     return got.select("node", "name", "gapped", F.round("loglik", 4).alias("loglik"))
+
+
+def _simulated(spark, replicates: int, length: int):
+    m = Model.jukes_cantor("acgt", insrate=0.02, delrate=0.02, insext=0.5, delext=0.5)
+    rows = simulation.families(spark, replicates, m, b.TREE, length).join(b.tree(spark).drop("ds").withColumnRenamed("node", "n"), F.col("node") == F.col("n")).drop("n")
+    return rows.select("ds", "node", "parent", "name", "blen", "gapped"), m
+
+
+@query("sum17_history_loglik")
+def _(spark, d):
+    rows, m = _simulated(spark, 64, 100)
+    return chains.likelihoods(rows, m, 1.0).select("ds", *[F.round(x, 5).alias(x) for x in ("root", "indel", "substitution", "prior")])
+
+
+@query("dp21_refined")
+def _(spark, d):
+    rows, m = _simulated(spark, 8, 20)
+    return chains.refined(rows, m).select("ds", "node", "gapped", F.round("loglik", 5).alias("loglik"))
+
+
+@query("mc11_chains")
+def _(spark, d):
+    rows, m = _simulated(spark, 8, 12)
+    return chains.sampled(rows, m, chains=2, per_node=2, population=1.0).select("ds", "chain", "node", "parent", "name", F.round("blen", 6).alias("blen"), "gapped", F.round("best_loglik", 5).alias("loglik"), "accepted")
