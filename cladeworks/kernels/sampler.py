@@ -257,7 +257,9 @@ def _chain(m: Model, up: np.ndarray, row: int) -> pf.Profile:
         logs = np.log(up)
     n = len(up)
     own = (frozenset((row,)),)
-    return pf.Profile(row, [None, *logs, None], [(), *[own] * n, ()], [{row: i} for i in range(n + 1)] + [{row: n}], [pf.Edge(i, i + 1, 0.0) for i in range(n + 1)])
+    out = pf.Profile(row, [None, *logs, None], [(), *[own] * n, ()], [{row: i} for i in range(n + 1)] + [{row: n}], [pf.Edge(i, i + 1, 0.0) for i in range(n + 1)])
+    out.ready = [True] * len(out)  # its only null move is into the end, which both profiles make together: so gaps may lie behind its last residue
+    return out
 
 
 def _pair_lattice(m: Model, h: History, v: int) -> pf.Lattice:
