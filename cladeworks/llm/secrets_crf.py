@@ -11,7 +11,8 @@ The field is trained on the driver, by likelihood with forward-backward; its lab
 such spans, and it learns from TRAIN_DOCS of them at most, half with a span and half without, those of the smallest hashes; of a document
 from DOC_LINES lines at most, those with a span first, and of a line from a window of LINE_TOKENS tokens at most, around its first span. Half of
 the time the words of a token and its neighbours are hidden, so that it doesn't just learn the patterns' key words but what
-secrets look like, and finds those behind other words. The sample doesn't depend on how rows are dealt over partitions. Without any
+secrets look like, and finds those behind other words. No span is no proof of no secret: a line with an unlabelled token of mixed letters and
+digits (RUN_STEP, CHANGE_STEP) teaches nothing and is left out of training. The sample doesn't depend on how rows are dealt over partitions. Without any
 span nothing is added. Every line of every text is tagged, however long.
 
 Null texts are empty. Rows that repeat a doc_id are scanned one by one. Offsets count code points. A source column is read if there is
@@ -36,6 +37,7 @@ DOC_LINES = 16
 LINE_TOKENS = 64
 WORD_BITS = 12
 EPOCHS = 6
+RUN_STEP, CHANGE_STEP = 4, 3  # of LENGTH and CHANGES: 12 letters and digits that change their class in a fifth of places
 KINDS = ("assign", "access", "hex", "crf")
 
 
@@ -310,12 +312,15 @@ def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field | None:
                     continue
                 tags = _tags(chunk, texts, starts, ends, first)
                 any_ = np.maximum.reduceat(tags, first[:-1]) > 0
+                run, change = np.divmod(ids[:, 1] - OFFSETS[1], 6)
+                doubtful = (tags == 0) & (run >= RUN_STEP) & (change >= CHANGE_STEP)
+                usable = np.maximum.reduceat(doubtful, first[:-1]) == 0
                 own = np.searchsorted(chunk.offsets, starts[first[:-1]], "right") - 1 + chunk.first
                 order = c.mix(h[own].view(np.uint64) ^ (number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 by = np.lexsort((order, ~any_, own))
                 rank = np.arange(len(by)) - np.searchsorted(own[by], own[by])
                 out = []
-                for k in by[rank < DOC_LINES]:
+                for k in by[(rank < DOC_LINES) & usable[by]]:
                     s, e = first[k], first[k + 1]
                     if e - s > LINE_TOKENS:
                         middle = s + int(np.argmax(tags[s:e] > 0)) - LINE_TOKENS // 2

@@ -528,8 +528,8 @@ def test_schedule_stays_within_a_block(spark, weights):
 def test_schedule_in_segments_and_of_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SEGMENT", 1024)
     rng = random.Random(3)
-    weights = [rng.randrange(1, 1000) for _ in range(2000)]
-    blocks = [1 + w * 3000 // sum(weights) for w in weights]
+    weights = [rng.randrange(1, 1000) for _ in range(600)]
+    blocks = [1 + w * 1200 // sum(weights) for w in weights]
     sources = spark.createDataFrame([(i, w, b) for i, (w, b) in enumerate(zip(weights, blocks, strict=True))], "number int, w long, blocks long")
     rows = mixing.schedule(sources, c.Tables(spark)).orderBy("slot").collect()
     assert [(r.slot, r.number) for r in rows] == mixing.brute(weights, blocks)
