@@ -214,7 +214,7 @@ def fused(seen, names):
 
 
 def test_priors_decide_where_text_says_little(spark):
-    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog with that house", "en"), ("der hund und die katze mit das haus", "de")] * 20)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog with that house", "en"), ("der hund the und die katze mit das haus", "de")] * 20)], "doc_id long, text string, lang string")
     page = lambda body, lang="": f'<html lang="{lang}"><body>{body}</body></html>'
     pages = [(i, f"http://w{i % 3}.x.de/{i}", page("der hund und die katze mit", "de")) for i in range(30)] + [(100, "http://w0.x.de/t", page("the", "de")), (101, "http://y.com", page("the dog and that cat", "en"))]
     got = {r.page_id: r for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
