@@ -124,6 +124,25 @@ def test_lm_score(spark, texts, monkeypatch, head):
     assert lm_score.cross_entropy_difference(frame(spark, texts).limit(0), labels).count() == 0
 
 
+def test_lm_score_writes_no_table_of_bigrams(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [(i, words(rng, 60, 2000)) for i in range(300)]
+    written = []
+
+    def cut(self, df, *, drop=(), real=c.Tables.cut):
+        out = real(self, df, drop=drop)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(c.Tables, "cut", cut)
+    monkeypatch.setattr(lm_score, "HEAD", 100)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 300, 3)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(frame(spark, texts), labels).collect()}
+    for (d, _), (n, t, b) in zip(texts, lm_score.brute(texts, {i for i in range(0, 300, 3) if i % 2}), strict=True):
+        assert (got[d].n_tokens, got[d].target_loss, got[d].background_loss) == (n, pytest.approx(t), pytest.approx(b))
+    assert max(written) < 4000  # words and documents, not the 18,000 bigrams
+
+
 def test_lm_models_are_distributions(spark, texts):
     from math import exp
 
