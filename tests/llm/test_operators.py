@@ -99,6 +99,27 @@ def test_near_join_in_rounds(spark, monkeypatch):
     assert rows == {(d, *x) for d, x in near_join.brute(near, 2, 85, 100).items()}
 
 
+def test_near_copies_without_a_good_pivot_give_few_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    base = words(rng, 400, 5000).split()
+    near = {}
+    for i in range(160):
+        own = list(base)
+        for at in rng.sample(range(10, 390), rng.choice((3, 4, 4, 5))):
+            own[at] = f"z{i}x{at}"
+        near[i] = " ".join(own)
+    seen = []
+
+    def narrowed(docs, pairs, *rest, real=near_join.narrowed):
+        seen.append(pairs.count())
+        return real(docs, pairs, *rest)
+
+    monkeypatch.setattr(near_join, "narrowed", narrowed)
+    rows = {(r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(frame(spark, list(near.items())), k=4, num=85, den=100).collect()}
+    assert rows == {(d, *x) for d, x in near_join.brute(near, 4, 85, 100).items()}
+    assert sum(seen) < 4 * len(near), seen
+
+
 def test_near_join_gives_rows_without_id(spark):
     rows = [(1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "of no other document"), (None, "")]
     got = near_join.join(frame(spark, rows), k=2, num=85, den=100).collect()
