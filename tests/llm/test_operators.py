@@ -580,3 +580,31 @@ def test_chunks_give_every_text(spark):
     parts = list(c.chunks(col, 10))
     assert sum(p.n for p in parts) == 120
     assert b"".join(p.buf.tobytes() for p in parts).decode() == "".join(x or "" for x in col.to_pylist())
+
+
+def test_written_tables_give_freed_memory_back(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    if not c.trim(spark):
+        pytest.skip("this JVM can't give memory back")
+
+    def mb():
+        with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("RssAnon")) / 1024
+
+    memory = jvm.org.apache.spark.unsafe.Platform
+    blocks = [memory.allocateMemory(100_000) for _ in range(4000)]
+    for block in blocks:
+        memory.setMemory(None, block, 100_000, 1)
+    for block in blocks[:-1]:  # the last one keeps glibc from giving the others back by itself
+        memory.freeMemory(block)
+    tables = c.Tables(spark)
+    monkeypatch.setattr(c.Tables, "collected", float("inf"))
+    tables.drop(tables.cut(spark.range(3)))
+    jvm.System.gc()
+    monkeypatch.setattr(c.Tables, "collected", 0.0)
+    before = mb()
+    out = tables.cut(spark.range(3))
+    assert before - mb() > 200
+    assert out.count() == 3
+    tables.drop(out)
+    memory.freeMemory(blocks[-1])
